@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ BLOCK = 512
 LIMIT = 16
 END_ID = 0
 MAGIC = b"CSIDHUF1"
-CACHE = 400_000
+CACHE = 300_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,6 +37,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: How the byte-level pattern cuts a piece that begins with its only space.
+_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class Kept(dict):
+    """What was asked for lately: at 2 * CACHE entries those not used since CACHE go."""
+
+    def __init__(self, make) -> None:
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Odd(Exception):
+    pass
+
+
 class Encoder:
     """Ids of texts by the tokenizers library. The byte-level pattern always splits before a space that a non-space follows, so
     pieces between such spaces are encoded once and kept; a text with any other space is encoded as it is."""
@@ -47,9 +79,19 @@ class Encoder:
         self.model.encode_special_tokens = True  # their strings inside a text are ordinary text
         kind = json.loads(open(path, encoding="utf-8").read())
         pre = kind.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not kind.get("normalizer")
+        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer") and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout")
         self.type = np.dtype(np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.kept: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.tokens = Kept(self._token)
+        self.pieces = Kept(self._piece)
+
+    def _token(self, token: str) -> bytes:
+        return np.array([t.id for t in self.model.model.tokenize(token.encode().decode("latin-1").translate(self.letters))], self.type).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace():
+            raise _Odd
+        return b"".join([self.tokens[t] for t in _PRETOKENS(" " + piece)])
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -57,24 +99,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._bytes(texts)
-        kept, split, whole = self.kept, [t.split(" ") for t in texts], []
-        if len(kept) > CACHE:
-            kept.clear()
-        missing = set().union(*(p[1:] for p in split)) - kept.keys()
-        odd = {p for p in missing if not p or p[0].isspace()}
-        missing = list(missing - odd)
-        kept.update(zip(missing, self._bytes([" " + p for p in missing])))
-        heads = self._bytes([p[0] for p in split])
-        result: list[bytes] = []
-        for text, head, pieces in zip(texts, heads, split):
-            del pieces[0]
-            if odd and not odd.isdisjoint(pieces):
-                whole.append((len(result), text))
-                result.append(b"")
-            else:
-                result.append(head + b"".join([kept[p] for p in pieces]))
-        for (at, _), ids in zip(whole, self._bytes([t for _, t in whole])):
-            result[at] = ids
+        split = [t.split(" ") for t in texts]
+        result, whole, of = self._bytes([p[0] for p in split]), [], self.pieces.__getitem__
+        for k, pieces in enumerate(split):
+            try:
+                del pieces[0]
+                result[k] += b"".join(map(of, pieces))
+            except _Odd:
+                whole.append(k)
+        for k, ids in zip(whole, self._bytes([texts[k] for k in whole])):
+            result[k] = ids
         return result
 
 
