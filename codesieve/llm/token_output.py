@@ -12,10 +12,12 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ BLOCK = 512
 LIMIT = 16
 END_ID = 0
 MAGIC = b"CSIDHUF1"
-CACHE = 300_000
+CACHE = 500_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -81,35 +83,71 @@ class Encoder:
         pre = kind.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer") and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout")
         self.type = np.dtype(np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.letters = _byte_letters()
-        self.tokens = Kept(self._token)
+        self.letters, self.code = _byte_letters(), "HI"[self.type.itemsize // 4]
+        self.marks = {c: self._token(c) for c in ".,;:!?"}
         self.pieces = Kept(self._piece)
 
     def _token(self, token: str) -> bytes:
-        return np.array([t.id for t in self.model.model.tokenize(token.encode().decode("latin-1").translate(self.letters))], self.type).tobytes()
+        """Ids of what the pattern takes as one: a space at its start and printable ASCII stand for their bytes as they are."""
+        plain = token.isascii() and token.isprintable()
+        letters = (f"\u0120{token[1:]}" if token[0] == " " else token) if plain else token.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.model.tokenize(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self._token(" " + piece)
+        mark = self.marks.get(piece[-1:])
+        if mark is not None and (core := piece[:-1]).isalpha():
+            return self.pieces[core] + mark
         if not piece or piece[0].isspace():
             raise _Odd
-        return b"".join([self.tokens[t] for t in _PRETOKENS(" " + piece)])
+        return b"".join(map(self._token, _PRETOKENS(" " + piece)))
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, each with end_id at its end; numbers of ids). Each distinct piece of the array is looked up once."""
+        end = np.array([end_id], self.type).tobytes()
         if not self.by_piece:
-            return self._bytes(texts)
-        split = [t.split(" ") for t in texts]
-        result, whole, of = self._bytes([p[0] for p in split]), [], self.pieces.__getitem__
-        for k, pieces in enumerate(split):
+            return self._flat([x + end for x in self._bytes(texts.to_pylist())])
+        lists = pc.split_pattern(texts, " ")
+        first, values = np.diff(lists.offsets.to_numpy()), lists.flatten()
+        docs, count, at = len(texts), first, np.cumsum(first) - first
+        is_head = np.zeros(len(values), bool)
+        is_head[at] = True
+        heads, pieces = values.filter(pa.array(is_head)).dictionary_encode(), values.filter(pa.array(~is_head)).dictionary_encode()
+        known, of, odd = [], self.pieces.__getitem__, []
+        for k, piece in enumerate(pieces.dictionary.to_pylist()):
             try:
-                del pieces[0]
-                result[k] += b"".join(map(of, pieces))
+                known.append(of(piece))
             except _Odd:
-                whole.append(k)
-        for k, ids in zip(whole, self._bytes([texts[k] for k in whole])):
-            result[k] = ids
-        return result
+                odd.append(k)
+                known.append(b"")
+        table = [*known, *self._bytes(heads.dictionary.to_pylist()), end]
+        row = np.empty(len(values) + docs, np.int64)
+        place = np.arange(len(values)) + np.repeat(np.arange(docs), count)
+        row[place[~is_head]] = pieces.indices.to_numpy()
+        row[place[is_head]] = heads.indices.to_numpy() + len(known)
+        row[at + count + np.arange(docs)] = len(table) - 1
+        size = np.array([len(x) for x in table], np.int64) // self.type.itemsize
+        flat = np.frombuffer(b"".join(table), self.type)
+        sizes = size[row]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat((np.cumsum(size) - size)[row] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        n = np.add.reduceat(sizes, at + np.arange(docs)) if docs else sizes
+        if not odd:
+            return ids, n
+        spoilt = np.unique(np.searchsorted(at, np.flatnonzero(~is_head)[np.isin(pieces.indices.to_numpy(), odd)], side="right") - 1)
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        whole = self._bytes(texts.take(pa.array(spoilt)).to_pylist())
+        each = [p.tobytes() for p in parts]
+        for k, x in zip(spoilt.tolist(), whole):
+            each[k] = x + end
+        return self._flat(each)
+
+    def _flat(self, each: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(each), self.type), np.array([len(x) for x in each], np.int64) // self.type.itemsize
 
 
 def encoder(path: str) -> Encoder:
@@ -218,14 +256,15 @@ _IDS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64(
 def _tokenize(path: str, bounds: list[int], end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = np.array(bounds, np.int64)
     e = encoder(path)
-    end = np.array([end_id], e.type).tobytes()
-    for part in slices(batches):
-        ids = [x + end for x in e.encode([t or "" for t in part.column("text").to_pylist()])]
+    for part in slices(batches, limit=8 << 20):
+        ids, n = e.encode(part.column("text").fill_null(""), end_id)
         doc, tie = part.column("doc_id"), part.column("tie").to_numpy()
         v = doc.fill_null(np.iinfo(np.int64).max).to_numpy()
         low, high = np.searchsorted(edges, v, side="left"), np.searchsorted(edges, v, side="right")
         rid = low + (tie.view(np.uint64) >> np.uint64(33)).astype(np.int64) * (high - low + 1) // (1 << 31)  # rows of one hot id share its ranges, in the order of tie
-        yield pa.RecordBatch.from_arrays([pa.array(rid), doc, part.column("tie"), pa.array([len(x) // e.type.itemsize for x in ids]), pa.array(ids, pa.binary())], schema=_IDS)
+        offsets = np.concatenate([[0], np.cumsum(n)]) * e.type.itemsize
+        blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(rid), doc, part.column("tie"), pa.array(n), blobs], schema=_IDS)
 
 
 def _count(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +285,7 @@ _CODED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int6
 def _encode(kind: str, code, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lengths = code.value
     codes = canonical(lengths)
-    for part in slices(batches, "ids", 2 << 20):
+    for part in slices(batches, "ids", 1 << 18):
         ids, n = np.frombuffer(b"".join(raw(part.column("ids"))), kind), part.column("n").to_numpy()
         bits, marks = put(ids, n, lengths, codes)
         yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rid", "doc_id", "tie", "n")], pa.array(bits, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], schema=_CODED)
