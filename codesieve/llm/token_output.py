@@ -29,7 +29,7 @@ BLOCK = 512
 LIMIT = 16
 END_ID = 0
 MAGIC = b"CSIDHUF1"
-CACHE = 500_000
+CACHE = 350_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -66,10 +66,6 @@ class Kept(dict):
         return value
 
 
-class _Odd(Exception):
-    pass
-
-
 class Encoder:
     """Ids of texts by the tokenizers library. The byte-level pattern always splits before a space that a non-space follows, so
     pieces between such spaces are encoded once and kept; a text with any other space is encoded as it is."""
@@ -85,7 +81,7 @@ class Encoder:
         self.type = np.dtype(np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32)
         self.letters, self.code = _byte_letters(), "HI"[self.type.itemsize // 4]
         self.marks = {c: self._token(c) for c in ".,;:!?"}
-        self.pieces = Kept(self._piece)
+        self.pieces, self.tokens = Kept(self._piece), Kept(self._token)
 
     def _token(self, token: str) -> bytes:
         """Ids of what the pattern takes as one: a space at its start and printable ASCII stand for their bytes as they are."""
@@ -99,9 +95,7 @@ class Encoder:
         mark = self.marks.get(piece[-1:])
         if mark is not None and (core := piece[:-1]).isalpha():
             return self.pieces[core] + mark
-        if not piece or piece[0].isspace():
-            raise _Odd
-        return b"".join(map(self._token, _PRETOKENS(" " + piece)))
+        return b"".join([self.pieces[t[1:]] if t[0] == " " and t[1:].isalpha() else self.tokens[t] for t in _PRETOKENS(" " + piece)])
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -117,26 +111,23 @@ class Encoder:
         is_head = np.zeros(len(values), bool)
         is_head[at] = True
         heads, pieces = values.filter(pa.array(is_head)).dictionary_encode(), values.filter(pa.array(~is_head)).dictionary_encode()
-        known, of, odd = [], self.pieces.__getitem__, []
-        for k, piece in enumerate(pieces.dictionary.to_pylist()):
-            try:
-                known.append(of(piece))
-            except _Odd:
-                odd.append(k)
-                known.append(b"")
+        distinct = pieces.dictionary
+        odd = np.flatnonzero(pc.or_(pc.equal(pc.binary_length(distinct), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, 0, 1))).to_numpy(zero_copy_only=False))
+        known = list(map(self.pieces.__getitem__, distinct.to_pylist()))
         table = [*known, *self._bytes(heads.dictionary.to_pylist()), end]
-        row = np.empty(len(values) + docs, np.int64)
+        row = np.empty(len(values) + docs, np.int32)
         place = np.arange(len(values)) + np.repeat(np.arange(docs), count)
         row[place[~is_head]] = pieces.indices.to_numpy()
         row[place[is_head]] = heads.indices.to_numpy() + len(known)
         row[at + count + np.arange(docs)] = len(table) - 1
-        size = np.array([len(x) for x in table], np.int64) // self.type.itemsize
+        size = np.fromiter(map(len, table), np.int32, len(table)) // self.type.itemsize
         flat = np.frombuffer(b"".join(table), self.type)
         sizes = size[row]
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat((np.cumsum(size) - size)[row] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        n = np.add.reduceat(sizes, at + np.arange(docs)) if docs else sizes
-        if not odd:
+        kind = np.int32 if sizes.sum(dtype=np.int64) < 1 << 31 else np.int64
+        ends = np.cumsum(sizes, dtype=kind)
+        ids = flat[np.repeat((np.cumsum(size, dtype=kind) - size)[row] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=kind)]
+        n = np.add.reduceat(sizes, at + np.arange(docs), dtype=np.int64) if docs else sizes.astype(np.int64)
+        if not len(odd):
             return ids, n
         spoilt = np.unique(np.searchsorted(at, np.flatnonzero(~is_head)[np.isin(pieces.indices.to_numpy(), odd)], side="right") - 1)
         parts = np.split(ids, np.cumsum(n)[:-1])
@@ -212,21 +203,22 @@ def put(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, codes: np.ndarray)
     """Of documents with n ids each, end to end: their bits, and the bit offsets of their blocks."""
     if not len(ids):
         return [b""] * len(n), [np.zeros(0, np.uint32)] * len(n)
-    size, code = lengths[ids].astype(np.int64), codes[ids]
-    before = np.cumsum(size) - size
+    kind = np.int32 if len(ids) < 1 << 26 else np.int64
+    size, code = lengths.astype(kind)[ids], codes.astype(np.uint32)[ids]
+    ends = np.cumsum(size, dtype=kind)
     first = np.cumsum(n) - n
-    bounds = np.r_[before, before[-1] + size[-1]]
-    bits = bounds[first + n] - bounds[first]
+    bounds = np.concatenate([np.zeros(1, kind), ends])
+    bits = (bounds[first + n] - bounds[first]).astype(np.int64)
     whole = (bits + 7) // 8
     base = 8 * (np.cumsum(whole) - whole)
-    at = before + np.repeat(base - bounds[first], n)
-    word, shift = at >> 6, 64 - (at & 63) - size
-    main = np.where(shift >= 0, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64))
-    lead = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    words = np.zeros(int(word[-1]) + 2, np.uint64)
+    at = ends - size + np.repeat((base - bounds[first]).astype(kind), n)
+    word, shift = at >> 5, 32 - (at & 31) - size
+    main = np.where(shift >= 0, code << np.maximum(shift, 0).astype(np.uint32), code >> np.maximum(-shift, 0).astype(np.uint32))
+    lead = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    words = np.zeros(int(word[-1]) + 2, np.uint32)
     words[word[lead]] = np.bitwise_or.reduceat(main, lead)
     over = np.flatnonzero(shift < 0)
-    words[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
+    words[word[over] + 1] |= code[over] << (32 + shift[over]).astype(np.uint32)
     stream = words.byteswap().tobytes()
     payloads = [stream[b : b + w] for b, w in zip((base // 8).tolist(), whole.tolist())]
     marks = [(at[f : f + k : BLOCK] - b).astype(np.uint64) for f, k, b in zip(first.tolist(), n.tolist(), base.tolist())]
@@ -256,7 +248,7 @@ _IDS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64(
 def _tokenize(path: str, bounds: list[int], end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = np.array(bounds, np.int64)
     e = encoder(path)
-    for part in slices(batches, limit=8 << 20):
+    for part in slices(batches, limit=4 << 20):
         ids, n = e.encode(part.column("text").fill_null(""), end_id)
         doc, tie = part.column("doc_id"), part.column("tie").to_numpy()
         v = doc.fill_null(np.iinfo(np.int64).max).to_numpy()
