@@ -11,16 +11,19 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import raw, ship, slices, stash
 
 #: Labelled documents that the features are learned from, at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
-#: A feature counts if this many labelled documents show it, its rate is so many deviations above chance and its log odds rise by so much.
-MIN_DOCS, MIN_Z, MIN_GAIN = 5, 4.0, 1.5
+#: A feature counts if it raises the log odds by so much even when its counts are this many deviations worse than they look.
+MIN_GAIN, DOUBT = 1.5, 1.0
 #: Strength of the global odds in a feature's, in documents; of the level above in a site's.
 SHRINK, SITE = 1.0, 50.0
 REJECT = 0.9
@@ -44,16 +47,17 @@ def features(text: bytes) -> set[bytes]:
     return found
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[bytes, list[int]] = {}
+def _sketch(found: set[bytes]) -> int:
+    """Three minhashes of the features in one number: near copies mostly share it, other texts hardly ever do."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    least = [int((h * np.uint64(m)).min()) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)] if len(h) else []
+    return xxhash.xxh64_intdigest(repr(least).encode()) >> 1
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        for t, bad in zip(raw(part.column("text")), part.column("bad").to_pylist()):
-            for f in features(t):
-                c = seen.get(f)
-                if c is None:
-                    c = seen[f] = [0, 0]
-                c[bad] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["feature", "good", "bad"])
+        each = [features(t) for t in raw(part.column("text"))]
+        yield pa.RecordBatch.from_arrays([pa.array(map(_sketch, each), pa.int64()), part.column("bad"), pa.array([sorted(f) for f in each], pa.list_(pa.binary()))], names=["key", "bad", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bad: str = "quality = 0 OR toxic = 1", max_labelled: int = MAX_LABELLED) -> tuple[dict[bytes, float], float]:
@@ -62,56 +66,67 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = labels.select(F.col(id_col).cast("long").alias("__id"), F.expr(f"CAST({bad} AS int)").alias("bad")).where("__id IS NOT NULL AND bad IS NOT NULL")
     chosen = stash(chosen.orderBy(F.xxhash64("__id"), "__id", "bad").limit(max_labelled), "labelled")
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), "bad")  # at most max_labelled pairs of numbers
-    seen = stash(rows.mapInArrow(_evidence, "feature binary, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "features")
-    total = chosen.agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).first()
+    one = rows.mapInArrow(_shown, "key long, bad int, features array<binary>").groupBy("key").agg(F.max(F.struct("bad", "features")).alias("x"))
+    one = stash(one.select("x.*"), "labelled-features")  # near copies would make their chance words look distinctive
+    seen = one.select(F.explode("features").alias("feature"), "bad").groupBy("feature").agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad"))
+    total = one.agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).first()
     n, k = total["n"] or 0, total["bad"] or 0
     p = (k + 1) / (n + 2)
-    shown = F.col("good") + F.col("bad")
-    z = (F.col("bad") - shown * p) / F.sqrt(shown * p * (1 - p))
-    gain = F.log((F.col("bad") + SHRINK * p) / (F.col("good") + SHRINK * (1 - p))) - math.log(p / (1 - p))
-    kept = seen.where((shown >= MIN_DOCS) & (z > MIN_Z) & (gain > MIN_GAIN)).select("feature", gain.alias("gain"))
+    few = F.greatest(F.col("bad") - DOUBT * F.sqrt("bad"), F.lit(0.0))
+    many = F.col("good") + DOUBT * F.sqrt(F.col("good") + 1)
+    gain = F.log((few + SHRINK * p) / (many + SHRINK * (1 - p))) - math.log(p / (1 - p))
+    kept = seen.where(gain > MIN_GAIN).select("feature", gain.alias("gain"))
     return {bytes(r["feature"]): r["gain"] for r in kept.collect()}, p  # features of a bounded sample
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("evidence", pa.float64())])
+def _scorer(spark: SparkSession, gains: dict[bytes, float]):
+    """Evidence of a text column; the other columns don't leave the JVM."""
+    model = spark.sparkContext.broadcast(gains)
 
+    @F.arrow_udf(T.DoubleType())
+    def evidence(texts: pa.Array) -> pa.Array:
+        gain = model.value
+        known = frozenset(gain)
+        return pa.array([sum(sorted(gain[f] for f in features(t) & known)) for t in raw(texts)], pa.float64())
 
-def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gain = model.value
-    known = frozenset(gain)
-    for part in slices(batches):
-        scores = [sum(sorted(gain[f] for f in features(t) & known)) for t in raw(part.column("text"))]
-        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "h", "host", "path")], pa.array(scores, pa.float64())], schema=_ROW)
+    return evidence
+
+
+def _sites(scored: DataFrame, p: float) -> DataFrame:
+    """(__h, __p, host_rate, path_rate) from (host, path, evidence): hosts shrunk toward all documents, paths toward their host."""
+    alone = 1 / (1 + F.exp(-(F.col("evidence") + math.log(p / (1 - p)))))
+    # Whole millionths, so that the sums don't depend on the order of rows.
+    paths = stash(scored.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum(F.round(alone * 1e6).cast("long")) / 1e6).alias("k")), "paths")
+    whole = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    base = ((whole["k"] or 0) + p) / ((whole["n"] or 0) + 1)
+    hosts = paths.groupBy("host").agg(((F.sum("k") + SITE * base) / (F.sum("n") + SITE)).alias("host_rate")).withColumnRenamed("host", "__h")
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("__h"))).select(F.col("host").alias("__h"), F.col("path").alias("__p"), "host_rate", ((F.col("k") + SITE * F.col("host_rate")) / (F.col("n") + SITE)).alias("path_rate"))
+    return stash(sites, "sites")  # of known size: broadcast only under Spark's threshold
+
+
+def _posterior(evidence: Column) -> Column:
+    return 1 / (1 + F.exp(-(evidence + F.log(F.col("path_rate") / (1 - F.col("path_rate"))))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", reject: float = REJECT, **training) -> DataFrame:
-    """(doc_id, h, host, path, evidence, host_rate, path_rate, p_reject, kept) for each row of docs; h is the text's hash.
+    """(doc_id, host, path, evidence, host_rate, path_rate, p_reject, kept) for each row of docs.
 
     The sites' rates come from all documents. A null or empty text shows no distinctive feature; null hosts and paths are sites of their own; repeated
     rows are judged alike. Without labels the global rate is one half and nothing is distinctive. An empty table gives none.
     """
-    spark = docs.sparkSession
     gains, p = train(docs, labels, id_col=id_col, text_col=text_col, **training)
-    model = spark.sparkContext.broadcast(gains)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    scored = stash(rows.mapInArrow(lambda b: _score(model, b), "doc_id long, h long, host string, path string, evidence double"), "evidence")
-    odds = math.log(p / (1 - p))
-    alone = 1 / (1 + F.exp(-(F.col("evidence") + odds)))
-    paths = stash(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round(alone, 6).cast("decimal(38,6)")).cast("double").alias("k")), "paths")
-    whole = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    base = ((whole["k"] or 0) + p) / ((whole["n"] or 0) + 1)
-    hosts = paths.groupBy("host").agg(((F.sum("k") + SITE * base) / (F.sum("n") + SITE)).alias("host_rate")).withColumnRenamed("host", "__h")
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("__h"))).select(F.col("host").alias("__h"), F.col("path").alias("__p"), "host_rate", ((F.col("k") + SITE * F.col("host_rate")) / (F.col("n") + SITE)).alias("path_rate"))
-    sites = stash(sites, "sites")  # of known size: broadcast only under Spark's threshold
-    posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate"))))))
-    judged = scored.join(sites, F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p"))).withColumn("p_reject", posterior)
-    return judged.select("doc_id", "h", "host", "path", "evidence", "host_rate", "path_rate", "p_reject", (F.col("p_reject") <= reject).alias("kept"))
-
-
-def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the classifier keeps."""
-    gone = classify(docs, labels, id_col=id_col, text_col=text_col, **options).where("NOT kept").select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("host").alias("__s"), F.col("path").alias("__p")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(text_col) == F.col("__h"))
-    for c, key in ((options.get("host_col", "source"), "__s"), (options.get("path_col", "lang"), "__p")):
-        same = same & F.col(c).cast("string").eqNullSafe(F.col(key))
-    return docs.join(stash(gone, "rejected"), same, "left_anti")
+    score = _scorer(docs.sparkSession, gains)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), score(F.col(text_col)).alias("evidence"))
+    scored = stash(rows, "evidence")
+    judged = scored.join(_sites(scored, p), F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p"))).withColumn("p_reject", _posterior(F.col("evidence")))
+    return judged.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "p_reject", (F.col("p_reject") <= reject).alias("kept"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", reject: float = REJECT, **training) -> DataFrame:
+    """The rows of docs that classify() keeps. Texts are scored twice and never shuffled while the sites' table is small enough to be broadcast."""
+    gains, p = train(docs, labels, id_col=id_col, text_col=text_col, **training)
+    score = _scorer(docs.sparkSession, gains)
+    host, path = F.col(host_col).cast("string"), F.col(path_col).cast("string")
+    sites = _sites(stash(docs.select(host.alias("host"), path.alias("path"), score(F.col(text_col)).alias("evidence")), "evidence"), p)
+    judged = docs.withColumn("__evidence", score(F.col(text_col))).join(sites, host.eqNullSafe(F.col("__h")) & path.eqNullSafe(F.col("__p")))
+    return judged.where(_posterior(F.col("__evidence")) <= reject).select(*[docs[c] for c in docs.columns])

@@ -38,7 +38,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("h")
+    return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
