@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from ._shared import WORD, ship, stash, with_rank
 BLOCK = 4096
 FAN_IN = 2048
 EPS = 1e-9
+#: Units that the landing problem of a source holds besides the two that a flight leaves: it tries all their subsets.
+LANDING = 12
 
 
 def targets(sizes: DataFrame, share: float = 1.0, repeat: float = 3.0) -> DataFrame:
@@ -41,49 +44,54 @@ def targets(sizes: DataFrame, share: float = 1.0, repeat: float = 3.0) -> DataFr
     return ranked.withColumn("target", F.least(F.col("weight") * F.lit(level), cap).cast("double"))
 
 
-def flight(pi: list[float], rows: list[list[float]], rng: random.Random, land: bool) -> None:
-    """Moves pi in place until at most len(rows) entries are fractional; landing drops the constraints from the first on."""
-
-    def run(active: list[int], a: list[list[float]]) -> list[int]:
-        rest: list[int] = []
-        for k in active:
-            rest.append(k)
-            if len(rest) <= len(a):
-                continue
-            if len(a) == 2:
-                i, j, k = rest
-                (a0, a1, a2), (b0, b1, b2) = [[r[x] for x in rest] for r in a]
-                u = [a1 * b2 - a2 * b1, a2 * b0 - a0 * b2, a0 * b1 - a1 * b0]
-                if max(map(abs, u)) <= EPS * (abs(a0) + abs(a1) + abs(a2)) * (abs(b0) + abs(b1) + abs(b2)):
-                    u = [a1, -a0, 0.0]
-            elif len(a) == 1:
-                u = [a[0][rest[1]], -a[0][rest[0]]]
-                if not any(u):
-                    u = [1.0, 0.0]
-            else:
-                u = [1.0]
-            up = min(((1 - pi[x]) / d if d > 0 else -pi[x] / d) for x, d in zip(rest, u) if d)
-            down = min((pi[x] / d if d > 0 else (pi[x] - 1) / d) for x, d in zip(rest, u) if d)
-            step = up if rng.random() * (up + down) < down else -down
-            for x, d in zip(rest, u):
-                v = pi[x] + step * d
-                pi[x] = 0.0 if v < EPS else 1.0 if v > 1 - EPS else v
-            rest = [x for x in rest if 0 < pi[x] < 1]
-        return rest
-
-    left = run([k for k, p in enumerate(pi) if 0 < p < 1], rows)
-    while land and left:
-        rows = rows[1:]
-        left = run(left, rows)
+def flight(pi: list[float], a: tuple[list[float], list[float]], rng: random.Random, units: list[int]) -> None:
+    """Moves the pi of these units in place, in the null space of two constraints, until at most two are fractional; a[0] must be positive."""
+    first, second = a
+    rest: list[int] = []
+    for k in units:
+        if not 0 < pi[k] < 1:
+            continue
+        rest.append(k)
+        if len(rest) < 3:
+            continue
+        (a0, a1, a2), (b0, b1, b2) = [first[x] for x in rest], [second[x] for x in rest]
+        u = [a1 * b2 - a2 * b1, a2 * b0 - a0 * b2, a0 * b1 - a1 * b0]
+        if max(map(abs, u)) <= EPS * (a0 + a1 + a2) * (abs(b0) + abs(b1) + abs(b2)):
+            u = [a1, -a0, 0.0]
+        up = min(((1 - pi[x]) / d if d > 0 else -pi[x] / d) for x, d in zip(rest, u) if d)
+        down = min((pi[x] / d if d > 0 else (pi[x] - 1) / d) for x, d in zip(rest, u) if d)
+        step = up if rng.random() * (up + down) < down else -down
+        for x, d in zip(rest, u):
+            v = pi[x] + step * d
+            pi[x] = 0.0 if v < EPS else 1.0 if v > 1 - EPS else v
+        rest = [x for x in rest if 0 < pi[x] < 1]
+
+
+def land(pi: list[float], a: tuple[list[float], list[float]]) -> None:
+    """Settles the fractional units, LANDING + 2 at most, by the subset that comes nearest to the second total, then to the first."""
+    units = [k for k, p in enumerate(pi) if 0 < p < 1]
+    if not units:
+        return
+    subsets = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
+    off = [np.abs(subsets @ np.array([x[k] for k in units]) - sum(x[k] * pi[k] for k in units)) for x in a]
+    best = int(np.lexsort((off[0], np.round(off[1])))[0])
+    for k, taken in zip(units, subsets[best].tolist()):
+        pi[k] = float(taken)
 
 
 def _block(seed: int):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "mix", "doc_id"], ascending=[False, True, True], ignore_index=True)  # the smallest are left to land
+        pdf = pdf.sort_values(["size", "mix", "doc_id"], ascending=[False, True, True], ignore_index=True)
         sid, level, block, blocks = (int(pdf[c].iat[0]) for c in ("sid", "level", "block", "blocks"))
-        n = pdf["n"].astype(float).tolist()
-        pi = pdf["pi"].tolist()
-        flight(pi, [n, (pdf["n"] * pdf["size"]).astype(float).tolist()], random.Random(f"{seed}/{sid}/{level}/{block}"), blocks == 1)
+        a = pdf["n"].astype(float).tolist(), (pdf["n"] * pdf["size"]).astype(float).tolist()
+        pi, units = pdf["pi"].tolist(), list(range(len(pdf)))
+        if blocks == 1:  # units of halving sizes wait for the landing, so that it can make up for whatever the flight leaves
+            for j in range(LANDING):
+                if units:
+                    units.remove(min(units, key=lambda k: abs(a[1][k] - a[1][0] / 2**j)))
+        flight(pi, a, random.Random(f"{seed}/{sid}/{level}/{block}"), units)
+        if blocks == 1:
+            land(pi, a)
         pdf["pi"] = pi
         return pdf
 
