@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker turns into words at once.
 SLICE_BYTES = 2 << 20
+#: Rows in an Arrow batch where the session doesn't say: texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 2000
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -49,7 +51,10 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it by its path only."""
+    """Lets Python workers import this package when the driver found it by its path only, and keeps Arrow batches of texts small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS and spark.sparkContext.getConf().get(rows) is None:
+        spark.conf.set(rows, BATCH_ROWS)
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in have and not any("site-packages" in p and p == _ROOT for p in sys.path):

@@ -52,7 +52,7 @@ class Phrases:
 
     def rank(self, counts: np.ndarray) -> None:
         """counts: of each term in the corpus. Sorts each phrase's offsets from the rarest term on; phrases with a term that never occurs can't match."""
-        cost = np.where(self.term >= 0, counts[self.term], np.iinfo(np.int64).max)
+        cost = np.where(self.term >= 0, counts[np.maximum(self.term, 0)], np.iinfo(np.int64).max)
         self.order = np.argsort(cost, axis=1, kind="stable")
         rows = np.arange(len(self.length))
         self.anchor = self.term[rows, self.order[:, 0]] if len(rows) else rows

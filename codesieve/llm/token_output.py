@@ -29,7 +29,7 @@ BLOCK = 512
 LIMIT = 16
 END_ID = 0
 MAGIC = b"CSIDHUF1"
-CACHE = 350_000
+CACHE = 250_000
 _encoders: dict[str, Encoder] = {}
 
 
