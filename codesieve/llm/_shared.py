@@ -50,6 +50,15 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes what this application wrote into the shared folder; results that weren't written elsewhere can't be read after it."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("codesieve_chunks_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/codesieve-{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package when the driver found it by its path only, and keeps Arrow batches of texts small."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"

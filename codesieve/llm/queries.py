@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, neardup, pii, quality_model, quality_rules, secret_scan, substring_dedup, token_output
+from . import chat, decontaminate, mixing, neardup, pii, quality_model, quality_rules, secret_scan, sql, substring_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others draw at random, hash with a seed, run a tokenizer or a fitted model, or return offsets of disguised spans; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": sql.QUALITY_RULES,
+    "op7_decontamination": sql.DECONTAMINATION,
+    "op8_substring_dedup": sql.SUBSTRINGS,
+    "op10_chat_format": sql.CHAT,
+}
