@@ -68,9 +68,11 @@ def json_lines(issues: DataFrame) -> DataFrame:
 
 
 def _array(issues: DataFrame, indent: int, severity_name: Column) -> DataFrame:
-    last = F.broadcast(issues.agg(F.max(F.struct("file", "seq")).alias("last")))  # one row
-    comma = F.when(F.struct("file", "seq") == F.col("last"), "").otherwise(",")
-    return issues.join(last).select(F.lit(1).alias("part"), "file", "seq", F.concat(_pretty(indent, severity_name), comma).alias("text"))
+    last = issues.agg(F.max(F.struct("file", "seq")).alias("last")).first()["last"]  # the one that has no comma after it
+    if last is None:
+        last = ("", -1)
+    comma = F.when((F.col("file") == last[0]) & (F.col("seq") == last[1]), "").otherwise(",")
+    return issues.select(F.lit(1).alias("part"), "file", "seq", F.concat(_pretty(indent, severity_name), comma).alias("text"))
 
 
 def _edge(rows: DataFrame, part: int, text: Column | str) -> DataFrame:
