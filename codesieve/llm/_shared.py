@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import sys
@@ -84,6 +85,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def give_back() -> None:
+    """At the end of a task: an idle Python worker keeps no memory that it has freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

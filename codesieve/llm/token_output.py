@@ -23,13 +23,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import raw, shared_path, ship, slices, stash
+from ._shared import give_back, raw, shared_path, ship, slices, stash
 
 BLOCK = 512
 LIMIT = 16
 END_ID = 0
 MAGIC = b"CSIDHUF1"
-CACHE = 250_000
+CACHE = 450_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -65,6 +65,11 @@ class Kept(dict):
         self[key] = value
         return value
 
+    def rest(self) -> None:
+        """Between tasks a worker holds nothing."""
+        self.older = {}
+        self.clear()
+
 
 class Encoder:
     """Ids of texts by the tokenizers library. The byte-level pattern always splits before a space that a non-space follows, so
@@ -80,6 +85,7 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer") and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout")
         self.type = np.dtype(np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32)
         self.letters, self.code = _byte_letters(), "HI"[self.type.itemsize // 4]
+        self.tokenize = self.model.model.tokenize
         self.marks = {c: self._token(c) for c in ".,;:!?"}
         self.pieces, self.tokens = Kept(self._piece), Kept(self._token)
 
@@ -91,7 +97,8 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
-            return self._token(" " + piece)
+            letters = f"\u0120{piece}" if piece.isascii() else "\u0120" + piece.encode().decode("latin-1").translate(self.letters)
+            return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
         mark = self.marks.get(piece[-1:])
         if mark is not None and (core := piece[:-1]).isalpha():
             return self.pieces[core] + mark
@@ -241,33 +248,30 @@ def get(stream: np.ndarray, offsets: np.ndarray, n: np.ndarray, table: np.ndarra
     return result
 
 
-_IDS_DDL = "rid long, doc_id long, tie long, n long, ids binary"
-_IDS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+#: The last row of a task has no document but the task's counts (id, times) of all ids.
+_IDS_DDL = "rid long, doc_id long, tie long, n long, ids binary, id array<int>, times array<long>"
+_IDS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("id", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
 
 
 def _tokenize(path: str, bounds: list[int], end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = np.array(bounds, np.int64)
     e = encoder(path)
-    for part in slices(batches, limit=4 << 20):
+    total = np.zeros(max(e.model.get_vocab_size(), end_id + 1), np.int64)
+    for part in slices(batches, limit=8 << 20):
         ids, n = e.encode(part.column("text").fill_null(""), end_id)
+        total += np.bincount(ids, minlength=len(total))
         doc, tie = part.column("doc_id"), part.column("tie").to_numpy()
         v = doc.fill_null(np.iinfo(np.int64).max).to_numpy()
         low, high = np.searchsorted(edges, v, side="left"), np.searchsorted(edges, v, side="right")
         rid = low + (tie.view(np.uint64) >> np.uint64(33)).astype(np.int64) * (high - low + 1) // (1 << 31)  # rows of one hot id share its ranges, in the order of tie
         offsets = np.concatenate([[0], np.cumsum(n)]) * e.type.itemsize
         blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(rid), doc, part.column("tie"), pa.array(n), blobs], schema=_IDS)
-
-
-def _count(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for part in slices(batches, "ids", 8 << 20):
-        more = np.bincount(np.frombuffer(b"".join(raw(part.column("ids"))), kind))
-        if len(more) > len(total):
-            total = np.pad(total, (0, len(more) - len(total)))
-        total[: len(more)] += more
+        yield pa.RecordBatch.from_arrays([pa.array(rid), doc, part.column("tie"), pa.array(n), blobs, pa.nulls(len(n), _IDS.field("id").type), pa.nulls(len(n), _IDS.field("times").type)], schema=_IDS)
     used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+    yield pa.RecordBatch.from_pylist([{"id": used.tolist(), "times": total[used].tolist()}], schema=_IDS)
+    e.pieces.rest()
+    e.tokens.rest()
+    give_back()
 
 
 _CODED_DDL = "rid long, doc_id long, tie long, n long, bits binary, marks binary"
@@ -381,12 +385,12 @@ def write_ids(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     kind = encoder(path).type.str
     ids = stash(rows.mapInArrow(lambda b: _tokenize(path, bounds, end_id, b), _IDS_DDL), "ids")
-    counted = ids.select("ids").mapInArrow(lambda b: _count(kind, b), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most a row for each id of the vocabulary
+    counted = ids.select(F.explode(F.arrays_zip("id", "times")).alias("c")).groupBy("c.id").agg(F.sum("c.times").alias("n")).collect()  # at most a row for each id of the vocabulary
     counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     code = spark.sparkContext.broadcast(code_lengths(counts))
-    coded = ids.mapInArrow(lambda b: _encode(kind, code, b), _CODED_DDL)
+    coded = ids.where("rid IS NOT NULL").drop("id", "times").mapInArrow(lambda b: _encode(kind, code, b), _CODED_DDL)
     order = [F.col("doc_id").asc_nulls_last(), F.shiftrightunsigned("tie", 1), "tie"]
     ordered = coded.repartition(shards, "rid").sortWithinPartitions("rid", *order)
     return stash(ordered.mapInArrow(lambda b: _write(folder, code, b), _FILES_DDL), "id-files")
