@@ -1,8 +1,8 @@
 """Personal data, also in disguise, at the offsets of the source text.
 
-Base detectors run on the text itself. Texts that hold signs of a disguise go through transducers, each of which rewrites a
-text and carries the source span of every character: homoglyphs and invisible characters, spelled digits, at/dot
-disguises. The detectors run again on what comes out, and a find that isn't in the source as it is maps back to its source characters.
+Base detectors run on the text itself. Every text goes through transducers, each of which rewrites a text and carries the
+source span of every character: homoglyphs and invisible characters, spelled digits, at/dot disguises. Where any of them
+changed something the detectors run again on what comes out, and a find that isn't in the source as it is maps back to its source characters.
 """
 
 from __future__ import annotations
@@ -71,10 +71,13 @@ class Aligned:
     """A text with the source span of each of its characters."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.start, self.end = text, [], []
 
     def rewrite(self, cuts: Iterator[tuple[int, int, str]]) -> None:
-        """cuts: (start, end, what comes there), rising; each new character spans all that it replaces."""
+        """cuts: (start, end, what comes there), rising; each new character spans all that it replaces. Spans are made at the first cut."""
+        cuts = list(cuts)
+        if cuts and not self.end:
+            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
         text, start, end, last = [], [], [], 0
         for a, b, new in cuts:
             text += (self.text[last:a], new)
@@ -127,8 +130,6 @@ _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?", re.
 _SAID = re.compile(r"(?<=[A-Za-z0-9])(?: at | AT |_at_|-at-|\s@\s)(?=[A-Za-z0-9-]+(?:(?: dot | DOT |_dot_|-dot-| \. )[A-Za-z0-9-]+)+)")
 _SAID_DOT = re.compile(r"(?<=[A-Za-z0-9])(?: dot | DOT |_dot_|-dot-| \. )(?=[A-Za-z0-9])")
 _NAMED = re.compile(r"(?<=[0-9]) at (?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu)\b)", re.I)
-#: A text without any of these signs holds no disguise.
-_SIGN = re.compile(rf"(?:{_DIGIT_WORD})(?:[ ,.-]+(?:dot |point |punkt |punto )?(?:{_DIGIT_WORD}|[0-9]+)\b){{3}}|[\[({{<]\s?(?:at|@|arroba|klammeraffe|dot|\.|punkt|punto|point)\s?[\])}}>]|[ _-](?:at|@)[ _-][a-z0-9-]+[ _-](?:dot|\.)[ _-]|[0-9] at [a-z0-9.-]+\.[a-z]|[0-9]\s@\s|@\s?[a-z0-9-]+ dot ")
 
 
 def _look_cuts(text: str) -> Iterator[Span]:
@@ -153,21 +154,15 @@ def _swaps(pattern: re.Pattern, new: str):
 TRANSDUCERS = (_look_cuts, _swaps(_AT, "@"), _swaps(_DOT, "."), _spelled_cuts, _swaps(_SAID, "@"), _swaps(_NAMED, "@"))
 
 
-def _suspect(text: str) -> bool:
-    if not text.isascii() and any(look(c) != c for c in set(text)):
-        return True
-    return bool(_SIGN.search(text.lower()))
-
-
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans of the source whose disguise hides an identifier; none that shares a character with a base span of its kind."""
-    if not _suspect(text):
-        return []
     a = Aligned(text)
     for t in TRANSDUCERS:
         a.rewrite(t(a.text))
     if "@" in a.text:
         a.rewrite(_swaps(_SAID_DOT, ".")(a.text))
+    if a.text is text:
+        return []
     held: dict[str, list[Span]] = {k: [s for s in base if s[2] == k] for k in KINDS}
     found = []
     for start, end, kind in detect(a.text):

@@ -225,6 +225,19 @@ def test_pii_disguises():
         assert pii.spans(clean)[1] == [], clean
 
 
+UNGATED = {
+    "mail john@example_dot_com today": "john@example_dot_com",
+    "mail john@example-dot-com today": "john@example-dot-com",
+    "call plus one 415 5551234": "plus one 415 5551234",
+}
+
+
+def test_pii_disguises_without_a_gate():
+    for text, hidden in UNGATED.items():
+        for t in (text, text + " [dot]", "\u0430 " + text):  # what else the text holds changes nothing
+            assert [t[s:e] for s, e, _ in pii.disguised(t, pii.detect(t))] == [hidden], t
+
+
 def test_pii_takes_linear_time():
     for t in ("1" * 300000, "1." * 200000, "a" * 300000 + "@", "+1 " * 100000, "one " * 50000, "@" * 300000, "a@b." * 50000, "(at " * 50000):
         pii.spans(t)
