@@ -127,9 +127,14 @@ _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ -]+|\+ ?)?(?:{_DIGIT_WORD})(?:[ ,-]
 _PART = re.compile(rf"(plus|\+)|(dot|point|punkt|punto|\.)|({_DIGIT_WORD})|([0-9]+)", re.I)
 _AT = re.compile(r"\s?[\[({<]\s?(?:at|@|arroba|klammeraffe)\s?[\])}>]\s?", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?", re.I)
-_SAID = re.compile(r"(?<=[A-Za-z0-9])(?: at | AT |_at_|-at-|\s@\s)(?=[A-Za-z0-9-]+(?:(?: dot | DOT |_dot_|-dot-| \. )[A-Za-z0-9-]+)+)")
-_SAID_DOT = re.compile(r"(?<=[A-Za-z0-9])(?: dot | DOT |_dot_|-dot-| \. )(?=[A-Za-z0-9])")
-_NAMED = re.compile(r"(?<=[0-9]) at (?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu)\b)", re.I)
+_DOTS = r"(?: dot |_dot_|-dot-| \. )"
+#: The lookahead takes a domain of at most 253 characters, as many as a name may have, so that it takes linear time.
+_SAID = re.compile(rf"(?<=[A-Za-z0-9])(?: at |_at_|-at-|\s@\s)(?=[A-Za-z0-9-][A-Za-z0-9.-]{{0,252}}?{_DOTS}[A-Za-z0-9-])", re.I)
+_SAID_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOTS}(?=[A-Za-z0-9])|(?<=[0-9]) (?:point|punkt|punto) (?=[0-9])", re.I)
+_TOP = r"(?i:com|org|net|edu|gov|io|de|fr|es|uk|eu)\b"
+_NAMED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?: (?i:at) |\s@\s)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:({_TOP})|(?:xn--[a-z0-9-]+|[a-z]{{2,63}}|[A-Z]{{2,63}})(?![A-Za-z0-9-])))")
+_SHAPE = re.compile(r"[._%+0-9-]")
+_LETTER = re.compile(r"[A-Za-z]")
 
 
 def _look_cuts(text: str) -> Iterator[Span]:
@@ -150,8 +155,20 @@ def _swaps(pattern: re.Pattern, new: str):
     return lambda text: ((m.start(), m.end(), new) for m in pattern.finditer(text))
 
 
-#: In this order. _SAID comes before the dots that it needs to see.
-TRANSDUCERS = (_look_cuts, _swaps(_AT, "@"), _swaps(_DOT, "."), _spelled_cuts, _swaps(_SAID, "@"), _swaps(_NAMED, "@"))
+def _named_cuts(text: str) -> Iterator[Span]:
+    """' at ' and ' @ ' before a domain with dots, after what has the shape of a local part; after figures alone before a common domain only."""
+    low = 0
+    for m in _NAMED.finditer(text):
+        start = m.start()
+        while start > low and _LOCAL.match(text[start - 1]):
+            start -= 1
+        local, low = text[start : m.start()], m.end()
+        if _SHAPE.search(local) and (_LETTER.search(local) or m[1] and _DIGIT.search(local)):
+            yield *m.span(), "@"
+
+
+#: In this order. _SAID comes before the dots that it needs to see, and names after the dots that may shape them.
+TRANSDUCERS = (_look_cuts, _swaps(_AT, "@"), _swaps(_DOT, "."), _spelled_cuts, _swaps(_SAID, "@"), _swaps(_SAID_DOT, "."), _named_cuts)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
@@ -159,8 +176,6 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     a = Aligned(text)
     for t in TRANSDUCERS:
         a.rewrite(t(a.text))
-    if "@" in a.text:
-        a.rewrite(_swaps(_SAID_DOT, ".")(a.text))
     if a.text is text:
         return []
     held: dict[str, list[Span]] = {k: [s for s in base if s[2] == k] for k in KINDS}

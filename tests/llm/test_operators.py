@@ -238,6 +238,29 @@ def test_pii_disguises_without_a_gate():
             assert [t[s:e] for s, e, _ in pii.disguised(t, pii.detect(t))] == [hidden], t
 
 
+SAID = {
+    "write john.smith at example.com now": "john.smith at example.com",
+    "write mary_lee At example.org now": "mary_lee At example.org",
+    "write jane7 @ example.com now": "jane7 @ example.com",
+    "write a+b at mail.example.ch now": "a+b at mail.example.ch",
+    "write john Dot smith AT Example.Com now": "john Dot smith AT Example.Com",
+    "to John At Mail Dot Example Dot Org": "John At Mail Dot Example Dot Org",
+    "to john at mail.example dot org": "john at mail.example dot org",
+    "host 192 dot 168 dot 1 dot 1 is up": "192 dot 168 dot 1 dot 1",
+    "host 10 Punkt 20 punto 30 point 40 is up": "10 Punkt 20 punto 30 point 40",
+    "7 at example.com": "7 at example.com",
+}
+
+
+def test_pii_said_at_and_dot():
+    for text, hidden in SAID.items():
+        assert [text[s:e] for s, e, _ in pii.disguised(text, pii.detect(text))] == [hidden], text
+    for clean in ("look at example.com", "lunch @ example.com", "etc. at example.com", "- at example.com", "10 at home.Then we left", "rev-2 at 3.5 percent", "3 dot 5 point 7", "we met at 10. Dot was late"):
+        assert pii.spans(clean)[1] == [], clean
+    for t in ("a-at-" * 50000, "a_at_" * 50000, "a.b at c." * 50000, "a-1 @ " * 50000, "a1 at " + "b." * 100000, "a at " + "b" * 300000, "1 dot " * 50000, "plus-" * 50000, "one" + " " * 300000):
+        pii.spans(t)
+
+
 def test_pii_takes_linear_time():
     for t in ("1" * 300000, "1." * 200000, "a" * 300000 + "@", "+1 " * 100000, "one " * 50000, "@" * 300000, "a@b." * 50000, "(at " * 50000):
         pii.spans(t)
