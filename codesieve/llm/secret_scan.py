@@ -1,7 +1,8 @@
-"""Secrets: base patterns, and strings that a character Markov model of random strings explains better than one of ordinary identifiers.
+"""Secrets: base patterns, and strings that a character Markov model of random strings explains better than one of ordinary identifiers and prose.
 
-Both models are trained by grouped counts of character pairs over labelled samples; a candidate is a secret when the log-likelihood ratio per character
-exceeds a threshold. The models have at most 65 x 65 probabilities each.
+Both models are trained by grouped counts of character pairs over labelled samples; a candidate that holds a letter is a secret when the log-likelihood
+ratio per character exceeds a threshold. Where a whole candidate doesn't, its pieces between '-' and '_' are tried, as a key may follow a long name. The
+models have at most 67 x 67 probabilities each.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from ._shared import raw, ship, slices
 KINDS = ("assign", "access", "hex", "random")
 Span = tuple[int, int, str]
 #: Characters of a candidate; in the models all others are one state, which is also what is before the first.
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_"
 OTHER = len(ALPHABET)
 STATES = OTHER + 1
-MIN_LENGTH = 20
+MIN_LENGTH = 16
 THRESHOLD = 0.35
 SAMPLES = 4000
 
@@ -37,8 +38,9 @@ _NAMES = (b"passw", b"secret", b"token", b"api")
 # Runs are greedy in the base patterns, so those too short fail at every later start as well.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH - 2},}}={{0,2}}")
 _PARTS = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_LETTER = re.compile(r"[A-Za-z]")
 
 
 def detect(text: str) -> list[Span]:
@@ -55,19 +57,59 @@ def detect(text: str) -> list[Span]:
 _VERBS = "get set load save read write open close find make build parse check update create delete remove insert select format convert handle process compute render resolve register validate initialize serialize allocate download".split()
 _NOUNS = "user name file path list item node value index count buffer token request response message session config option handler manager service controller factory context document window element attribute property database connection transaction repository application environment parameter configuration notification authentication".split()
 
+#: Prose of the corpus' languages, without accents, since characters with one end a candidate.
+_PROSE = tuple(
+    sorted({w for w in text.split() if len(w) > 1})
+    for text in (
+        """the house on the hill had been empty for as long as anyone could remember and children were often told that nothing good would come from walking there after dark when spring
+        arrived however the new owners opened every window cleaned the rooms and invited their neighbours to a large supper which changed what people thought about them entirely although
+        information about the government decision was published yesterday several important questions concerning education public transportation and international relations remain without
+        satisfactory answers because something between these different groups is missing scientists have shown through careful measurement that higher temperatures increase pressure within
+        the closed system while knowledge of previous conditions helps us understand whether dangerous consequences could follow quickly possible beautiful children should thinking another
+        against question enough language mother strength weather friendship happiness management development responsible understanding independent necessary throughout economic various""",
+        """das alte haus am rande der stadt war schon lange nicht mehr bewohnt und niemand wusste genau warum die letzten besitzer so schnell verschwunden waren im herbst kamen jedoch neue
+        nachbarn die alle zimmer reinigten und jeden sonntag ihre freunde zum essen einluden obwohl die regierung gestern eine wichtige entscheidung veroeffentlicht hat bleiben zahlreiche
+        fragen ueber bildung verkehr gesundheit und wirtschaftliche zusammenarbeit ohne befriedigende antwort weil zwischen diesen verschiedenen gruppen etwas fehlt wissenschaftler haben
+        durch sorgfaeltige messungen gezeigt dass hoehere temperaturen den druck innerhalb eines geschlossenen systems erhoehen moeglichkeit freiheit geschwindigkeit versicherung wohnung
+        gesellschaft landschaft eigentlich natuerlich schliesslich pflanze kopf pfeffer schmutz platz schutz arbeit einigkeit beziehungen erfahrung verantwortung entwicklung bundeskanzler
+        rechtsanwalt strasse zeitung maedchen sprache deutlich zurueck einfach beispiel grundsaetzlich unternehmen verhaeltnis gespraech fruehstueck krankenhaus gleichzeitig aufgabe""",
+        """la vieille maison au bout du village restait vide depuis longtemps et personne ne savait vraiment pourquoi les derniers habitants avaient disparu si vite mais au printemps une
+        famille nombreuse ouvrit toutes les fenetres nettoya chaque chambre et invita ses voisins pour un grand repas le gouvernement vient de publier une decision importante pourtant
+        plusieurs questions concernant enseignement transports sante publique et relations internationales demeurent sans reponse satisfaisante parce que quelque chose manque entre ces
+        differents groupes les chercheurs montrent par des mesures precises que la temperature augmente la pression dans un systeme ferme nouveau chateau oiseau beaucoup heureux eau yeux
+        cheveux travailleur bonheur lumiere feuille bouteille mouvement developpement notamment egalement seulement aujourd hui jamais toujours lorsque quatre quinze lequel auxquelles
+        connaissance entreprise environnement bibliotheque philosophie magnifique naturelle personnelle ensemble commencer choisir reussir comprendre peut etre""",
+        """la casa vieja al final del pueblo llevaba mucho tiempo vacia y nadie sabia por que sus ultimos habitantes desaparecieron tan rapido sin embargo en primavera una familia numerosa
+        abrio todas las ventanas limpio cada cuarto e invito a los vecinos para una gran cena el gobierno acaba de publicar una decision importante pero varias preguntas sobre educacion
+        transporte salud publica y relaciones internacionales quedan sin respuesta satisfactoria porque falta algo entre esos diferentes grupos los investigadores demuestran mediante
+        mediciones precisas que la temperatura aumenta la presion dentro de un sistema cerrado trabajo ciudad mujer hombre siempre tambien nosotros juego guerra cuando quien aquellos
+        desarrollo conocimiento naturalmente posibilidad universidad felicidad corazon caballo llamar lluvia calle querer zapato azucar extranjero hijo izquierda derecho empresa
+        bosque blanco negro agradecimiento necesidades responsables comunidades actualmente""",
+    )
+)
+
+_AROUND = (("__", "__"), ("_", ""), ("--", ""), ("/", ""), ("/", "/"), ("----", "----"))
+
+
+def _ordinary(words: list[str], kind: int) -> str:
+    title = [w.title() for w in words]
+    return ("_".join(words), words[0] + "".join(title[1:]), "".join(title), "-".join(words), "/".join(words), "".join(words), "_".join(words).upper(), "".join(words).upper())[kind]
+
 
 def samples(spark: SparkSession, n: int = SAMPLES, seed: int = 7) -> DataFrame:
-    """(text, label): n random strings (1) in the alphabets that keys use, and n ordinary identifiers, paths and run-on words (0)."""
+    """(text, label): n random strings (1) in the alphabets that keys use, and n ordinary identifiers, paths and run-on words and prose (0)."""
     r, rows = random.Random(seed), []
-    alphabets = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:36], ALPHABET[26:62], ALPHABET)
+    alphabets = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:36], ALPHABET[26:62], ALPHABET[:64], ALPHABET[:52], ALPHABET[:62] + "-_", ALPHABET[:26], ALPHABET[26:52])
     for k in range(n):
         size = r.randint(16, 64)
-        rows.append((base64.b64encode(r.randbytes(size)).decode() if k % 6 == 5 else "".join(r.choices(alphabets[k % 5], k=size)), 1))
-        words = [r.choice(_VERBS), *r.choices(_NOUNS, k=r.randint(2, 4))]
-        if r.random() < 0.2:
+        rows.append((base64.b64encode(r.randbytes(size)).decode() if k % 10 == 9 else "".join(r.choices(alphabets[k % 10], k=size)), 1))
+        words = [r.choice(_VERBS), *r.choices(_NOUNS, k=r.randint(2, 4))] if k % 3 == 0 else r.choices(_PROSE[k % 4], k=r.randint(3, 7))
+        if (u := r.random()) < 0.2:
             words.append(str(r.randint(1, 2024)))
-        kind = k % 6
-        rows.append((("_".join(words), words[0] + "".join(w.title() for w in words[1:]), "".join(w.title() for w in words), "-".join(words), "/".join(words), "".join(words))[kind] if kind < 5 or k % 12 == 5 else "_".join(words).upper(), 0))
+        elif u < 0.3:
+            words.insert(r.choice((0, len(words))), f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}")
+        before, after = r.choice(_AROUND) if r.random() < 0.2 else ("", "")
+        rows.append((before + _ordinary(words, r.randrange(8)) + after, 0))
     return spark.createDataFrame(rows, "text string, label int")
 
 
@@ -98,9 +140,9 @@ def ratio(model: np.ndarray, text: str) -> float:
     return float(model[s[:-1], s[1:]].sum()) / max(1, len(text))
 
 
-def _mixed(text: str) -> bool:
-    """At least two digits, and letters: words of any language alone are no secret."""
-    return sum(c.isdigit() for c in text) > 1 and any(c.isalpha() for c in text)
+def _random(text: str, model: np.ndarray, threshold: float) -> bool:
+    """Numbers alone are no secret, whatever the models say."""
+    return len(text) >= MIN_LENGTH and bool(_LETTER.search(text)) and ratio(model, text) > threshold
 
 
 def spans(text: str, model: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
@@ -108,10 +150,15 @@ def spans(text: str, model: np.ndarray, threshold: float = THRESHOLD) -> tuple[l
     if not _CANDIDATE.search(text) and not any(n in text.encode("utf-8", "surrogatepass").lower() for n in _NAMES):
         return [], []
     base, added = detect(text), []
+
+    def free(m: re.Match) -> bool:
+        return not any(m.start() < e and s < m.end() for s, e, _ in base)
+
     for run in _CANDIDATE.finditer(text):
-        for m in _PARTS.finditer(text, *run.span()):
-            if len(m[0]) >= MIN_LENGTH and _mixed(m[0]) and ratio(model, m[0]) > threshold and not any(m.start() < e and s < m.end() for s, e, _ in base):
-                added.append((*m.span(), "random"))
+        if free(run) and _random(run[0], model, threshold):
+            added.append((*run.span(), "random"))
+        else:
+            added += [(*m.span(), "random") for m in _PARTS.finditer(text, *run.span()) if m.span() != run.span() and free(m) and _random(m[0], model, threshold)]
     return base, sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
 
 

@@ -306,6 +306,22 @@ def test_secrets(spark, docs, rows, empty):
     assert got == ordered(want) and secret_scan.scan(empty).collect() == []
 
 
+def test_random_keys_are_found_whole(spark):
+    model = secret_scan.train(secret_scan.samples(spark))
+    rng = random.Random(12)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet, least in ((low + low.upper() + digits, 0.99), (low + low.upper(), 0.99), (low + low.upper() + digits + "-_", 0.99), (low + low.upper() + digits + "+/", 0.99), (low, 0.9), (low.upper(), 0.9)):
+        for size in (16, 18, 20, 27, 32, 43):
+            keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(400)]
+            found = sum(secret_scan.spans(f"use {k} here", model)[1] == [(4, 4 + size, "random")] for k in keys)
+            assert found >= least * len(keys), (alphabet, size, found)
+    key = "Zq8Rt3xLmW0vKp5Yd2Hs"
+    text = f"a_name_of_the_configuration_of_the_application_environment_{key} is set"
+    assert any(text[s:e].endswith(key) for s, e, _ in secret_scan.spans(text, model)[1])
+    for clean in ("Geschwindigkeitsbegrenzung", "gouvernementalement", "responsabilidades", "understandingly-everlasting", "NOTIFICATIONSETTINGS", "__init_subclass__", "-----------------", "2024-11-25-08-30-00", "4785380592391139", "ThatPersonalInformation"):
+        assert secret_scan.spans(clean, model) == ([], []), clean
+
+
 # 4 and 6 ------------------------------------------------------------------------------------------
 
 
