@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import raw, ship, slices, stash
@@ -42,19 +42,23 @@ def simhash(words: list[bytes], width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(h), bitorder="little").tobytes(), "little")
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-
-
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         fps = np.array([simhash(t.lower().split()) for t in raw(part.column("text"))], np.uint64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], schema=_FP)
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps.view(np.int64))], names=[*part.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row; bytes.lower changes A-Z alone and bytes.split splits at exactly the six characters."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) for each row, (doc_id, __a, __b, fp) if keyed; bytes.lower changes A-Z alone and bytes.split splits at exactly the six characters."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    keys = _keys(id_col, text_col) if keyed else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys, F.col(text_col).alias("text")).mapInArrow(_fingerprint, f"doc_id long, {'__a long, __b long, ' if keyed else ''}fp long")
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """128 bits that tell rows apart by id and text; nulls count as values."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    return [F.xxhash64(F.lit(k), doc_id.isNull(), doc_id, text.isNull(), text).alias(name) for k, name in enumerate(("__a", "__b"))]
 
 
 def near_lanes(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -209,13 +213,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, n_near, component_id) for each row of docs.
-
-    A null or empty text has fingerprint 0 and links like any other. Repeated rows are documents of their own that link to each other.
-    Null ids count as documents but can't name a component unless all its ids are null. An empty table gives none.
-    """
-    fps = stash(fingerprints(docs, id_col, text_col), "simhash")
+def _groups(fps: DataFrame) -> DataFrame:
+    """(fp, n_near, component_id, root) of each fingerprint in a written table of fingerprints; root names its group of near duplicates."""
     groups = stash(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "simhash-groups")
     found = stash(links(groups), "simhash-links")
     near = found.groupBy("fp").agg(F.sum("near").alias("near"))
@@ -223,15 +222,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = groups.join(near, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     reps = stash(reps, "simhash-reps")
     firsts = reps.groupBy("root").agg(F.min("first").alias("component_id"))
-    reps = reps.join(firsts, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
-    return fps.join(reps, "fp").select("doc_id", "fp", "n_near", "component_id")
+    return reps.join(firsts, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, n_near, component_id) for each row of docs.
+
+    A null or empty text has fingerprint 0 and links like any other. Repeated rows are documents of their own that link to each other.
+    Null ids count as documents but can't name a component unless all its ids are null. An empty table gives none.
+    """
+    fps = stash(fingerprints(docs, id_col, text_col), "simhash")
+    return fps.join(_groups(fps), "fp").select("doc_id", "fp", "n_near", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near duplicates: one with the group's smallest id, or with a null id if it has no other.
+
+    Groups stay apart whatever their ids: those with null ids, or with an id that rows of another group bear too, keep a row each.
+    """
+    fps = stash(fingerprints(docs, id_col, text_col, keyed=True), "simhash")
+    firsts = fps.join(_groups(fps), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stash(firsts.groupBy("root").agg(F.min("__a").alias("__a"), F.min_by("__b", "__a").alias("__b")).drop("root"), "simhash-stay")
+    rows = docs.select("*", *_keys(id_col, text_col)).join(stay, ["__a", "__b"], "left_semi")
+    repeat = Window.partitionBy("__a", "__b").orderBy("__a")
+    return rows.withColumn("__k", F.row_number().over(repeat)).where("__k = 1").select(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay when each group of near duplicates keeps the document with its smallest id; of repeated rows of that id one stays."""
-    stay = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    stay = stash(stay, "simhash-stay")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = docs.join(stay, F.col(id_col) == F.col("__id"), "left_semi")
-    nameless = docs.where(F.col(id_col).isNull()).join(F.broadcast(stay.where("__id IS NULL")), F.col(id_col).isNull() & F.col("__id").isNull(), "left_semi")  # at most one row is broadcast
-    return kept.unionByName(nameless).withColumn("__k", F.row_number().over(first)).where("__k = 1").select(*docs.columns)
+    """first_of_each for tables whose ids name documents: of rows of several groups that share an id, not null, one stays."""
+    text = F.xxhash64(text_col)
+    same = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), text)).orderBy(text)
+    return first_of_each(docs, id_col, text_col).withColumn("__k", F.row_number().over(same)).where("__k = 1").select(*docs.columns)

@@ -131,6 +131,19 @@ def test_simhash(docs, rows, empty):
     assert ordered((r["doc_id"],) for r in kept.collect()) == ordered({(c,) for c in comp})
 
 
+def test_each_group_keeps_a_row(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=80)) for k in range(5))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (1, e), (1, e), (None, e), (3, e), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    blank = [r for r in kept if not r["text"]]
+    assert len(blank) == 1 and blank[0]["doc_id"] is None
+    assert ordered(tuple(r) for r in kept if r["text"]) == ordered([(None, a), (None, b), (5, c), (5, d), (1, e)])
+    assert ordered(r["text"] for r in neardup.one_of_each(docs).collect() if r["doc_id"] is None and r["text"]) == ordered([a, b])
+
+
 @pytest.mark.parametrize("hot", [4, 1024])
 def test_links_of_dense_fingerprints(spark, monkeypatch, hot):
     """Hot buckets are split and lose no link."""
