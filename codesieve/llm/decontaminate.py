@@ -83,7 +83,7 @@ class Index:
         return self.post[self.first[term] : self.first[term] + self.size[term]]
 
     def phrases(self, p: Phrases, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, start) of every exact occurrence. The list of the rarest term is cut down by one offset-adjusted list after another."""
+        """(phrase, start) of every exact occurrence. Places of the rarest term's list stay if each other term is at its offset."""
         todo = np.flatnonzero((self.size > 0) & (p.count > 0))
         found_p, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         cost = self.size[todo] * p.count[todo]
@@ -98,7 +98,7 @@ class Index:
                     for j in range(1, p.term.shape[1]):
                         offset = p.order[ph, j]
                         term = p.term[ph, offset]
-                        same = (term < 0) | (self.flat[at + offset] == term)  # the posting lists of this slice, addressed by position
+                        same = (term < 0) | (self.flat[at + offset] == term)  # looked up by position, not by intersecting lists
                         ph, at = ph[same], at[same]
                     found_p.append(ph)
                     found_s.append(at)
