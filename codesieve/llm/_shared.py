@@ -15,7 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of most contracts: runs of what isn't one of these six characters.
@@ -28,12 +28,14 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests) one is made here."""
+    """The folder that all executors share. Where the session names none one is made, in local mode (tests) only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="codesieve-")
         atexit.register(shutil.rmtree, named, True)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -48,7 +50,20 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes a table into the shared folder and reads it again: the lineage ends there, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stashed = df.sparkSession.read.schema(df.schema).parquet(path)
+    stashed._stashed_at = path
+    return stashed
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Removes tables that stash() returned and that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._stashed_at)
 
 
 def clear(spark: SparkSession) -> None:
@@ -56,12 +71,34 @@ def clear(spark: SparkSession) -> None:
     for t in spark.catalog.listTables():
         if t.name.startswith("codesieve_chunks_"):
             spark.sql(f"DROP TABLE {t.name}")
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/codesieve-{spark.sparkContext.applicationId}")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _remove(spark, f"{shared_dir(spark)}/codesieve-{spark.sparkContext.applicationId}")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores as it takes to be none of df's columns."""
+    have, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def column(name: str) -> Column:
+    """A top-level column, whatever signs are in its name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame) -> Column:
+    """All of a row's columns in one, 'row': no other column can clash with those of the caller. select("row.*") gives them back."""
+    return F.struct(*[column(c) for c in df.columns]).alias("row")
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it by its path only, and keeps Arrow batches of texts small."""
+    """Lets Python workers import this package when the driver found it by its path only, and keeps Arrow batches of texts small.
+
+    The batch size stays set for the session, since results are computed later; a session that sets one itself keeps it.
+    """
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows)) > BATCH_ROWS and spark.sparkContext.getConf().get(rows) is None:
         spark.conf.set(rows, BATCH_ROWS)

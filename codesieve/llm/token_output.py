@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import struct
 import uuid
 import zlib
@@ -23,13 +24,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import give_back, raw, shared_path, ship, slices, stash
+from ._shared import give_back, raw, shared_path, ship, slices, stash, unstash
 
 BLOCK = 512
 LIMIT = 16
 END_ID = 0
 MAGIC = b"CSIDHUF1"
 CACHE = 450_000
+#: Token ids of one range of document ids, about, bytes of a file, and ids that a reader holds at once.
+RANGE_IDS, FILE_BYTES, READ_IDS = 64 << 20, 64 << 20, 4 << 20
 _encoders: dict[str, Encoder] = {}
 
 
@@ -73,13 +76,14 @@ class Kept(dict):
 
 class Encoder:
     """Ids of texts by the tokenizers library. The byte-level pattern always splits before a space that a non-space follows, so
-    pieces between such spaces are encoded once and kept; a text with any other space is encoded as it is."""
+    pieces between such spaces are encoded once and kept; a text with any other space or with an added token is encoded as it is."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings inside a text are ordinary text
+        #: Strings that the library takes as one id wherever they are: a text with any of them is encoded as it is.
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values() if t.content]
         kind = json.loads(open(path, encoding="utf-8").read())
         pre = kind.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer") and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout")
@@ -134,9 +138,13 @@ class Encoder:
         ends = np.cumsum(sizes, dtype=kind)
         ids = flat[np.repeat((np.cumsum(size, dtype=kind) - size)[row] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=kind)]
         n = np.add.reduceat(sizes, at + np.arange(docs), dtype=np.int64) if docs else sizes.astype(np.int64)
-        if not len(odd):
+        added = np.zeros(docs, bool)
+        for token in self.added:
+            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not len(odd) and not added.any():
             return ids, n
-        spoilt = np.unique(np.searchsorted(at, np.flatnonzero(~is_head)[np.isin(pieces.indices.to_numpy(), odd)], side="right") - 1)
+        added[np.searchsorted(at, np.flatnonzero(~is_head)[np.isin(pieces.indices.to_numpy(), odd)], side="right") - 1] = True
+        spoilt = np.flatnonzero(added)
         parts = np.split(ids, np.cumsum(n)[:-1])
         whole = self._bytes(texts.take(pa.array(spoilt)).to_pylist())
         each = [p.tobytes() for p in parts]
@@ -249,24 +257,19 @@ def get(stream: np.ndarray, offsets: np.ndarray, n: np.ndarray, table: np.ndarra
 
 
 #: The last row of a task has no document but the task's counts (id, times) of all ids.
-_IDS_DDL = "rid long, doc_id long, tie long, n long, ids binary, id array<int>, times array<long>"
-_IDS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("id", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+_IDS_DDL = "doc_id long, tie long, n long, ids binary, id array<int>, times array<long>"
+_IDS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("id", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
 
 
-def _tokenize(path: str, bounds: list[int], end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    edges = np.array(bounds, np.int64)
+def _tokenize(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e = encoder(path)
     total = np.zeros(max(e.model.get_vocab_size(), end_id + 1), np.int64)
     for part in slices(batches, limit=8 << 20):
         ids, n = e.encode(part.column("text").fill_null(""), end_id)
         total += np.bincount(ids, minlength=len(total))
-        doc, tie = part.column("doc_id"), part.column("tie").to_numpy()
-        v = doc.fill_null(np.iinfo(np.int64).max).to_numpy()
-        low, high = np.searchsorted(edges, v, side="left"), np.searchsorted(edges, v, side="right")
-        rid = low + (tie.view(np.uint64) >> np.uint64(33)).astype(np.int64) * (high - low + 1) // (1 << 31)  # rows of one hot id share its ranges, in the order of tie
         offsets = np.concatenate([[0], np.cumsum(n)]) * e.type.itemsize
         blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(rid), doc, part.column("tie"), pa.array(n), blobs, pa.nulls(len(n), _IDS.field("id").type), pa.nulls(len(n), _IDS.field("times").type)], schema=_IDS)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(n), blobs, pa.nulls(len(n), _IDS.field("id").type), pa.nulls(len(n), _IDS.field("times").type)], schema=_IDS)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_pylist([{"id": used.tolist(), "times": total[used].tolist()}], schema=_IDS)
     e.pieces.rest()
@@ -274,29 +277,39 @@ def _tokenize(path: str, bounds: list[int], end_id: int, batches: Iterator[pa.Re
     give_back()
 
 
-_CODED_DDL = "rid long, doc_id long, tie long, n long, bits binary, marks binary"
-_CODED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("marks", pa.binary())])
+def _range(doc: pa.Array, tie: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The range of each row by id; rows of one hot id share its ranges, in the order of tie."""
+    v = doc.fill_null(np.iinfo(np.int64).max).to_numpy()
+    low, high = np.searchsorted(edges, v, side="left"), np.searchsorted(edges, v, side="right")
+    return low + (tie.view(np.uint64) >> np.uint64(33)).astype(np.int64) * (high - low + 1) // (1 << 31)
 
 
-def _encode(kind: str, code, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_CODED_DDL = "rid int, doc_id long, tie long, n long, bits binary, marks binary"
+_CODED = pa.schema([("rid", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("marks", pa.binary())])
+
+
+def _encode(kind: str, code, edges, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lengths = code.value
     codes = canonical(lengths)
     for part in slices(batches, "ids", 1 << 18):
         ids, n = np.frombuffer(b"".join(raw(part.column("ids"))), kind), part.column("n").to_numpy()
         bits, marks = put(ids, n, lengths, codes)
-        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rid", "doc_id", "tie", "n")], pa.array(bits, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], schema=_CODED)
+        doc, tie = part.column("doc_id"), part.column("tie")
+        rid = _range(doc, tie.to_numpy(), edges.value)
+        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int32()), doc, tie, part.column("n"), pa.array(bits, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], schema=_CODED)
 
 
 class Writer:
     """One file: head, bits as they come, foot."""
 
-    def __init__(self, folder: str, rid: int, lengths: np.ndarray) -> None:
-        self.rid, self.path = rid, f"{folder}/ids-{rid:08d}-{uuid.uuid4().hex}.huf"
+    def __init__(self, folder: str, rid: int, part: int, lengths: np.ndarray) -> None:
+        self.rid, self.part, self.path = rid, part, f"{folder}/ids-{rid:08d}-{part:06d}-{uuid.uuid4().hex}.huf"
         system, path = fs.FileSystem.from_uri(self.path)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = system.open_output_stream(path)
         table = zlib.compress(lengths.tobytes())
         self.size = self.out.write(MAGIC + struct.pack("<II", len(lengths), len(table)) + table)
+        self.foot = 0
         self.ids: list[int | None] = []
         self.n: list[int] = []
         self.at: list[int] = []
@@ -308,98 +321,114 @@ class Writer:
         self.at.append(self.size)
         self.marks.append(marks)
         self.size += self.out.write(bits)
+        self.foot += 25 + len(marks)
 
-    def close(self) -> tuple[int, str, int, int, int]:
+    def close(self) -> tuple[int, int, str, int, int, int]:
         null = np.packbits([x is None for x in self.ids]).tobytes()
         foot = b"".join([np.array([x or 0 for x in self.ids], "<i8").tobytes(), np.array(self.n, "<i8").tobytes(), np.array(self.at, "<i8").tobytes(), b"".join(self.marks), null])
         self.out.write(foot + struct.pack("<QQ", len(self.ids), self.size) + MAGIC)
         self.out.close()
-        return self.rid, self.path, len(self.ids), sum(self.n), self.size + len(foot) + 24
+        return self.rid, self.part, self.path, len(self.ids), sum(self.n), self.size + len(foot) + 24
 
 
-_FILES_DDL = "rid long, path string, n_docs long, n_tokens long, n_bytes long"
+_FILES_DDL = "rid int, part int, path string, n_docs long, n_tokens long, n_bytes long"
+_FILES = pa.schema([("rid", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
 
-def _write(folder: str, code, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(folder: str, code, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_, done = None, []
     for batch in batches:
         for rid, doc, n, bits, marks in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "n", "bits", "marks"))):
-            if open_ is None or open_.rid != rid:
+            if open_ is None or open_.rid != rid or open_.size + open_.foot >= most:
+                part = open_.part + 1 if open_ and open_.rid == rid else 0
                 done += [open_.close()] if open_ else []
-                open_ = Writer(folder, rid, code.value)
+                open_ = Writer(folder, rid, part, code.value)
             open_.add(doc, n, bits, marks)
     done += [open_.close()] if open_ else []
-    yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["rid", "path", "n_docs", "n_tokens", "n_bytes"])
+    yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], f.type) for k, f in enumerate(_FILES)], schema=_FILES)
+
 
+def read_file(path: str, most: int = READ_IDS) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """(doc ids, numbers of ids, all ids end to end) of the documents of one file in order, about most ids at a time; a longer document comes alone.
 
-def read_file(path: str) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc ids, numbers of ids, all ids end to end) of one file."""
+    The foot is read first; of the bits only those of the documents at hand, and of those some blocks at a time.
+    """
     system, at = fs.FileSystem.from_uri(path)
-    with system.open_input_stream(at) as f:
-        data = f.read()
-    if data[:8] != MAGIC or data[-8:] != MAGIC:
-        raise ValueError(f"{path}: not a whole file of ids")
-    symbols, size = struct.unpack_from("<II", data, 8)
-    lengths = np.frombuffer(zlib.decompress(data[16 : 16 + size]), np.uint8, symbols)
-    docs, foot = struct.unpack_from("<QQ", data, len(data) - 24)
-    ids, n, start = (np.frombuffer(data, "<i8", docs, foot + 8 * docs * k) for k in range(3))
-    blocks = (n + BLOCK - 1) // BLOCK
-    marks = np.frombuffer(data, "<u8", int(blocks.sum()), foot + 24 * docs).astype(np.int64)
-    null = np.unpackbits(np.frombuffer(data, np.uint8, (docs + 7) // 8, foot + 24 * docs + 8 * len(marks)))[:docs]
-    sizes = np.full(len(marks), BLOCK, np.int64)
-    some = blocks > 0
-    sizes[(np.cumsum(blocks) - 1)[some]] = (n - (blocks - 1) * BLOCK)[some]
-    stream = np.frombuffer(data, np.uint8, foot)
-    table = decode_table(lengths)
-    parts, step = [np.zeros(0, np.uint32)], 1 << 13
-    offsets = marks + 8 * np.repeat(start, blocks)
-    for k in range(0, len(marks), step):  # some blocks at a time: memory stays small for any file
-        low = int(offsets[k]) // 8
-        high = int(offsets[k + step]) // 8 + 8 if k + step < len(offsets) else foot
-        parts.append(get(stream[low:high], offsets[k : k + step] - 8 * low, sizes[k : k + step], table))
-    return [None if x else int(i) for i, x in zip(ids, null)], n, np.concatenate(parts)
+    with system.open_input_file(at) as f:
+        size = f.size()
+        head, tail = f.read_at(16, 0), f.read_at(24, max(0, size - 24))
+        if head[:8] != MAGIC or tail[-8:] != MAGIC:
+            raise ValueError(f"{path}: not a whole file of ids")
+        symbols, packed = struct.unpack_from("<II", head, 8)
+        lengths = np.frombuffer(zlib.decompress(f.read_at(packed, 16)), np.uint8, symbols)
+        docs, foot = struct.unpack_from("<QQ", tail)
+        data = f.read_at(size - 24 - foot, foot)
+        ids, n, start = (np.frombuffer(data, "<i8", docs, 8 * docs * k) for k in range(3))
+        blocks = (n + BLOCK - 1) // BLOCK
+        marks = np.frombuffer(data, "<u8", int(blocks.sum()), 24 * docs).astype(np.int64)
+        null = np.unpackbits(np.frombuffer(data, np.uint8, (docs + 7) // 8, 24 * docs + 8 * len(marks)))[:docs]
+        sizes = np.full(len(marks), BLOCK, np.int64)
+        some = blocks > 0
+        sizes[(np.cumsum(blocks) - 1)[some]] = (n - (blocks - 1) * BLOCK)[some]
+        table, step = decode_table(lengths), 1 << 13
+        offsets, first = marks + 8 * np.repeat(start, blocks), np.concatenate([[0], np.cumsum(blocks)])
+        ends, a = np.cumsum(n), 0
+        while a < docs:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+            parts = [np.zeros(0, np.uint32)]
+            for k in range(int(first[a]), int(first[b]), step):
+                stop = min(k + step, int(first[b]))
+                low, high = int(offsets[k]) // 8, int(offsets[stop]) // 8 + 8 if stop < len(offsets) else foot
+                parts.append(get(np.frombuffer(f.read_at(min(high, foot) - low, low), np.uint8), offsets[k:stop] - 8 * low, sizes[k:stop], table))
+            yield [None if x else int(i) for i, x in zip(ids[a:b], null[a:b])], n[a:b], np.concatenate(parts)
+            a = b
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-            ids, n, tokens = read_file(path)
-            ends = np.cumsum(n)
-            tokens = tokens.astype("<u4")
-            crc = [zlib.crc32(tokens[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start + ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for ids, n, tokens in read_file(path):
+                ends = np.cumsum(n)
+                tokens = tokens.astype("<u4")
+                crc = [zlib.crc32(tokens[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start + ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                start += int(n.sum())
 
 
-def write_ids(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes the ids of all texts, each with end_id at its end, into files in ascending order of id; returns (rid, path, n_docs, n_tokens, n_bytes), a row for each file.
+def write_ids(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the ids of all texts, each with end_id at its end, into files in ascending order of id; returns (rid, part, path, n_docs, n_tokens, n_bytes), a row for each file.
 
-    Files follow one another by rid. Null ids come last, null texts are empty; rows of one id are in the order of a hash of their text. An
-    empty table writes no file. A file whose task failed isn't in the result.
+    Files follow one another by rid, then part. Null ids come last, null texts are empty; the order of rows with one id isn't defined. Ranges of
+    ids hold about RANGE_IDS token ids or fewer, and a file is closed once it has file_bytes, so neither grows with the table. Other columns aren't
+    read. An empty table writes no file. A file whose task failed isn't in the result.
     """
     spark = docs.sparkSession
     ship(spark)
     path = tokenizer or default_tokenizer()
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [k / shards for k in range(1, shards)] or [0.5]
-    bounds = docs.select(F.percentile_approx(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.array(*map(F.lit, cuts)), F.lit(max(10_000, 20 * shards)))).first()[0] or []
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col), F.monotonically_increasing_id()).alias("tie"), F.col(text_col).alias("text"))  # copies of one id differ in tie, so that they too share ranges
     kind = encoder(path).type.str
-    ids = stash(rows.mapInArrow(lambda b: _tokenize(path, bounds, end_id, b), _IDS_DDL), "ids")
+    ids = stash(rows.mapInArrow(lambda b: _tokenize(path, end_id, b), _IDS_DDL), "ids")
     counted = ids.select(F.explode(F.arrays_zip("id", "times")).alias("c")).groupBy("c.id").agg(F.sum("c.times").alias("n")).collect()  # at most a row for each id of the vocabulary
     counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
+    rows = ids.where("n IS NOT NULL")
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(int(counts.sum()) / RANGE_IDS))
+    cuts = [k / shards for k in range(1, shards)] or [0.5]
+    bounds = rows.select(F.percentile_approx(F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.array(*map(F.lit, cuts)), F.lit(max(10_000, 20 * shards)))).first()[0] or []
+    edges = spark.sparkContext.broadcast(np.array(bounds[: shards - 1], np.int64))  # a number for each range
     code = spark.sparkContext.broadcast(code_lengths(counts))
-    coded = ids.where("rid IS NOT NULL").drop("id", "times").mapInArrow(lambda b: _encode(kind, code, b), _CODED_DDL)
-    order = [F.col("doc_id").asc_nulls_last(), F.shiftrightunsigned("tie", 1), "tie"]
-    ordered = coded.repartition(shards, "rid").sortWithinPartitions("rid", *order)
-    return stash(ordered.mapInArrow(lambda b: _write(folder, code, b), _FILES_DDL), "id-files")
+    coded = rows.drop("id", "times").mapInArrow(lambda b: _encode(kind, code, edges, b), _CODED_DDL)
+    ordered = coded.repartitionById(shards, F.col("rid")).sortWithinPartitions("rid", F.col("doc_id").asc_nulls_last(), F.shiftrightunsigned("tie", 1), "tie")
+    files = stash(ordered.mapInArrow(lambda b: _write(folder, code, file_bytes, b), _FILES_DDL), "id-files")
+    unstash(ids)
+    return files
 
 
 def read_ids(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files; start counts the ids of all documents before it."""
     spark, start, rows = files.sparkSession, 0, []
-    for r in files.orderBy("rid").collect():  # a row for each file
+    for r in files.orderBy("rid", "part").collect():  # a row for each file
         rows.append((r["path"], start))
         start += r["n_tokens"]
     listed = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))

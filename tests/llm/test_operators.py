@@ -528,16 +528,21 @@ def test_pieces_are_whole_encodings():
     parts = ["a", "The", "é", "漢字", "😀", " ", "  ", "\n", "\t", "\xa0", "\x1c", " ", ".", ",", "'s", "'S", "1", "23", "<|endoftext|>", "-", "\r\n", "ß!"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "x" * 70000]
     ids, n = e.encode(pa.array(texts), 0)
-    want = [np.array([*x.ids, 0]) for x in e.model.encode_batch(texts, add_special_tokens=False)]
+    from tokenizers import Tokenizer
+
+    want = [np.array([*x.ids, 0]) for x in Tokenizer.from_file(token_output.default_tokenizer()).encode_batch(texts, add_special_tokens=False)]
     assert n.tolist() == [len(x) for x in want] and (ids == np.concatenate(want)).all()
 
 
-def test_token_files(spark, docs, rows, empty, tmp_path):
+@pytest.mark.parametrize("most", [token_output.FILE_BYTES, 20_000])
+def test_token_files(spark, docs, rows, empty, tmp_path, most):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(token_output.default_tokenizer())
-    model.encode_special_tokens = True
-    files = token_output.write_ids(docs, str(tmp_path / "ids"))
+    more = [(30 + k, "end <|endoftext|> of<|endoftext|>", None) for k in range(3)] + [(40, "<|endoftext|>", "a")] + [(50, "copies of one id", "a")] * 60
+    docs = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    rows = rows + more
+    files = token_output.write_ids(docs, str(tmp_path / "ids"), file_bytes=most)
     got = token_output.read_ids(files).collect()
     texts = Counter()
     for i, t, _ in rows:
@@ -548,7 +553,12 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     for r in sorted(got, key=lambda r: r["start"]):
         assert r["start"] == start and (last is None or r["doc_id"] is None or r["doc_id"] >= last)
         start, last = start + r["n_tokens"], r["doc_id"]
-    assert files.agg({"n_tokens": "sum"}).first()[0] == start
+    assert files.agg({"n_tokens": "sum"}).first()[0] == start and (files.agg({"part": "max"}).first()[0] > 0) == (most == 20_000)
+    whole = {tuple(i): (n.tolist(), t.tolist()) for r in files.collect() for i, n, t in token_output.read_file(r["path"])}
+    for r in files.collect():
+        small = [(i, n.tolist(), t.tolist()) for i, n, t in token_output.read_file(r["path"], 50)]
+        assert all(sum(n) <= 50 or len(n) == 1 for _, n, _ in small)
+        assert whole[tuple(x for i, _, _ in small for x in i)] == ([x for _, n, _ in small for x in n], [x for _, _, t in small for x in t])
     assert token_output.token_output(empty).collect() == []
 
 
