@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, ship, stash, with_rank
+from ._shared import WORD, ship, stash, whole, with_rank
 
 BLOCK = 4096
 FAN_IN = 2048
@@ -139,9 +139,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with the columns of docs: each row as often as mix() takes it. A repeated row shares its unit's decision."""
-    picked = mix(docs, **options).where("times > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("times").cast("int").alias("__t"))
+    """The documents of the mix with the columns of docs: each row as often as mix() takes it. A repeated row shares its unit's decision.
+
+    docs may have any other columns, whatever their names. Nulls and empty tables are as in mix().
+    """
+    picked = mix(docs, **options).where("times > 0").select("doc_id", "source", "size", F.col("times").cast("int").alias("times"))
     ids, text, source = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.join(picked, F.col(ids).eqNullSafe(F.col("__i")) & F.col(source).cast("string").eqNullSafe(F.col("__s")) & (size == F.col("__n")))
-    return joined.withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__t")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(whole(docs), F.col(ids).alias("i"), F.col(source).cast("string").alias("s"), size.alias("n"))
+    joined = rows.join(picked, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("row.*")

@@ -1,5 +1,8 @@
 """SimHash near duplicates: fingerprints, bit-sliced comparison inside buckets, connected components.
 
+near_duplicates() finds every pair within RADIUS bits. first_of_each(), which thins a corpus, also has to catch copies with a tenth of their words
+changed, whose fingerprints lie some 8 to 13 bits apart; its buckets come from samples of the shingles, and its radius is WIDE.
+
 Documents with one fingerprint collapse to one row first. Two fingerprints within 2 bits agree in at least two of four 16-bit
 blocks, so each fingerprint goes to six buckets of 32 fixed bits; a bucket above HOT is split the same way by its other 32
 bits, after which at most 2^16 fingerprints share one. Inside a bucket a lane is compared with the lane d places on: the bit planes of
@@ -15,50 +18,64 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import raw, ship, slices, stash
+from ._shared import column, raw, ship, slices, stash, unstash, whole
 
 RADIUS = 2
 HOT = 1024
 LANES = 1 << 14
+#: Of first_of_each: bits that near copies may differ in (unrelated texts differ in 32 or so); bucket keys of a text, and shingles that make a key.
+WIDE = 18
+KEYS, SAMPLE = 12, 3
+_ORDERS = np.random.default_rng(5).integers(1, 1 << 63, KEYS * SAMPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PAIRS = list(combinations(range(4), 2))
 
 
-def simhash(words: list[bytes], width: int = 3) -> int:
-    """Bit b is set if it is in over half the XXH64 (seed 42) of the shingles, repeats included; no words: 0."""
+def shingles(words: list[bytes], width: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles, repeats included; of the whole sequence if that is shorter, of nothing if it is empty."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     view, digest = memoryview(line), xxhash.xxh64_intdigest
     n = len(words)
     if n <= width:
-        return digest(line, 42)
+        return np.array([digest(line, 42)], np.uint64)
     ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist() + [len(line)]
     starts = [0, *[e + 1 for e in ends[: n - width]]]
-    h = np.array([digest(view[a:b], 42) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
+    return np.array([digest(view[a:b], 42) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit b is set if it is in over half the hashes; of none: 0."""
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * bits > len(h), bitorder="little").tobytes(), "little")
 
 
+def simhash(words: list[bytes], width: int = 3) -> int:
+    return majority(shingles(words, width))
+
+
+def sample_keys(h: np.ndarray) -> list[int]:
+    """KEYS numbers, each made of the least SAMPLE hashes' worth under as many orders: texts that share a part j of their shingles share each key with chance j ** SAMPLE."""
+    if not len(h):
+        return []
+    least = [(h * m).min() for m in _ORDERS]
+    return [xxhash.xxh64_intdigest(np.array(least[k : k + SAMPLE]).tobytes()) - (1 << 63) for k in range(0, len(least), SAMPLE)]
+
+
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         fps = np.array([simhash(t.lower().split()) for t in raw(part.column("text"))], np.uint64)
-        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps.view(np.int64))], names=[*part.schema.names[:-1], "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """(doc_id, fp) for each row, (doc_id, __a, __b, fp) if keyed; bytes.lower changes A-Z alone and bytes.split splits at exactly the six characters."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) for each row; bytes.lower changes A-Z alone and bytes.split splits at exactly the six characters."""
     ship(docs.sparkSession)
-    keys = _keys(id_col, text_col) if keyed else []
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys, F.col(text_col).alias("text")).mapInArrow(_fingerprint, f"doc_id long, {'__a long, __b long, ' if keyed else ''}fp long")
-
-
-def _keys(id_col: str, text_col: str) -> list[Column]:
-    """128 bits that tell rows apart by id and text; nulls count as values."""
-    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
-    return [F.xxhash64(F.lit(k), doc_id.isNull(), doc_id, text.isNull(), text).alias(name) for k, name in enumerate(("__a", "__b"))]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
 
 
 def near_lanes(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,22 +85,28 @@ def near_lanes(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tupl
     planes = [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in bits]
     starts = np.cumsum(sizes) - sizes
     ends = np.repeat(starts + sizes, sizes)
+    width = max(1, radius.bit_length())
     for d in range(1, int(sizes[0])):
         last = int(np.searchsorted(-sizes, -d, side="left"))  # buckets with more than d lanes come first
         top = int(starts[last - 1] + sizes[last - 1])
         valid = np.arange(top) + d < ends[:top]
         cut = (1 << top) - 1
         alive = int.from_bytes(np.packbits(valid, bitorder="little").tobytes(), "little")
-        ones = twos = 0
-        for p in planes:
-            x = (p ^ (p >> d)) & cut
-            carry = ones & x
-            ones ^= x
-            if radius >= 3:
-                raise ValueError("two counters hold distances up to 2")
-            over = twos & carry
-            twos ^= carry
-            alive &= ~(over | (ones & twos if radius == 2 else twos if radius == 1 else ones | twos))
+        counters = [0] * width
+        for k, p in enumerate(planes):
+            carry = (p ^ (p >> d)) & cut
+            for j in range(width):
+                counters[j], carry = counters[j] ^ carry, counters[j] & carry
+            alive &= ~carry  # a counter that runs over is above any radius
+            if k >= radius:  # no distance is above it before
+                above, equal = 0, alive
+                for j in range(width - 1, -1, -1):
+                    if radius >> j & 1:
+                        equal &= counters[j]
+                    else:
+                        above |= equal & counters[j]
+                        equal &= ~counters[j]
+                alive &= ~above
             if not alive:
                 break
         if alive:
@@ -115,14 +138,37 @@ def _rest(fps: np.ndarray, table: int) -> np.ndarray:
 _LINK = pa.schema([("fp", pa.int64()), ("near", pa.int64()), ("root", pa.int64())])
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
+    """The first lane, by order, of each lane's component."""
+    root = list(range(n))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for i, j in zip(a.tolist(), b.tolist()):
+        i, j = find(i), find(j)
+        if i != j:
+            if order[i] > order[j]:
+                i, j = j, i
+            root[j] = i
+    return [find(k) for k in range(n)]
+
+
+def _falling(cut: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes by bucket, large buckets first, and the sizes, of n lanes whose buckets begin at cut."""
+    sizes = np.diff(np.r_[cut, n])
+    order = np.argsort(-sizes, kind="stable")
+    return np.concatenate([np.arange(cut[k], cut[k] + sizes[k]) for k in order]), sizes[order]
+
+
 def _compare(tab: np.ndarray, sub: np.ndarray, key: np.ndarray, fps: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
     """Links of whole buckets: for each fingerprint the documents it links to, and the smallest fingerprint its bucket joins it to."""
-    cut = np.flatnonzero(np.r_[True, (tab[1:] != tab[:-1]) | (sub[1:] != sub[:-1]) | (key[1:] != key[:-1])])
-    sizes = np.diff(np.r_[cut, len(fps)])
-    order = np.argsort(-sizes, kind="stable")
-    lanes = np.concatenate([np.arange(cut[k], cut[k] + sizes[k]) for k in order])
+    lanes, sizes = _falling(_borders(tab, sub, key), len(fps))
     tab, sub, fps, n = tab[lanes], sub[lanes], fps[lanes], n[lanes]
-    a, b = near_lanes(fps, sizes[order])
+    a, b = near_lanes(fps, sizes)
     x = fps[a] ^ fps[b]
     good = _first_pair(x, 16) == tab[a]  # each pair counts in one bucket alone
     for k in np.unique(tab[a]):
@@ -135,25 +181,31 @@ def _compare(tab: np.ndarray, sub: np.ndarray, key: np.ndarray, fps: np.ndarray,
     np.add.at(near, a, n[b])
     np.add.at(near, b, n[a])
     signed = fps.view(np.int64)
-    root = np.arange(len(fps))
+    root = _joined(len(fps), a, b, signed)
+    used = np.unique(np.r_[a, b])
+    return pa.RecordBatch.from_arrays([pa.array(signed[used]), pa.array(near[used]), pa.array(signed[[root[k] for k in used]])], schema=_LINK)
+
+
+_LED = pa.schema([("fp", pa.int64()), ("root", pa.int64()), ("tab", pa.int32()), ("key", pa.int64())])
+_LED_DDL = "fp long, root long, tab int, key long"
+
+
+def _lead(tab: np.ndarray, sub: np.ndarray, key: np.ndarray, fps: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Of whole buckets: each lane that another one leads, with that one, and of hot buckets (n above 0) the others with themselves."""
+    lanes, sizes = _falling(_borders(tab, sub, key), len(fps))
+    tab, key, fps, n = tab[lanes], key[lanes], fps[lanes], n[lanes]
+    signed = fps.view(np.int64)
+    root = np.array(_joined(len(fps), *near_lanes(fps, sizes, WIDE), signed), np.int64)
+    used = np.flatnonzero((root != np.arange(len(fps))) | (n > 0))
+    return pa.RecordBatch.from_arrays([pa.array(signed[used]), pa.array(signed[root[used]]), pa.array(tab[used], pa.int32()), pa.array(key[used])], schema=_LED)
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
 
-    for i, j in zip(a.tolist(), b.tolist()):
-        i, j = find(i), find(j)
-        if i != j:
-            if signed[i] > signed[j]:
-                i, j = j, i
-            root[j] = i
-    used = np.unique(np.r_[a, b])
-    return pa.RecordBatch.from_arrays([pa.array(signed[used]), pa.array(near[used]), pa.array(signed[[find(k) for k in used]])], schema=_LINK)
+def _borders(tab: np.ndarray, sub: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where buckets begin."""
+    return np.flatnonzero(np.r_[True, (tab[1:] != tab[:-1]) | (sub[1:] != sub[:-1]) | (key[1:] != key[:-1])])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], compare=_compare) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by bucket: buckets are gathered to blocks of about LANES lanes, whole ones only."""
     held: list[np.ndarray] = []
     names = ("tab", "sub", "key", "fp", "n")
@@ -162,14 +214,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.concatenate(x) for x in zip(held, new)] if held else new
         if len(held[0]) < LANES:
             continue
-        tab, sub, key = held[:3]
-        last = np.flatnonzero((tab[1:] != tab[:-1]) | (sub[1:] != sub[:-1]) | (key[1:] != key[:-1]))
-        if len(last):
-            stop = int(last[-1]) + 1
-            if (r := _compare(*[x[:stop] for x in held[:3]], held[3][:stop].view(np.uint64), held[4][:stop])) is not None:
+        stop = int(_borders(*held[:3])[-1])
+        if stop:
+            if (r := compare(*[x[:stop] for x in held[:3]], held[3][:stop].view(np.uint64), held[4][:stop])) is not None:
                 yield r
             held = [x[stop:] for x in held]
-    if held and len(held[0]) and (r := _compare(*held[:3], np.ascontiguousarray(held[3]).view(np.uint64), held[4])) is not None:
+    if held and len(held[0]) and (r := compare(*held[:3], np.ascontiguousarray(held[3]).view(np.uint64), held[4])) is not None:
         yield r
 
 
@@ -203,53 +253,74 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.where("u <> v").distinct(), "cc-large")
+        large, last = stash(large.where("u <> v").distinct(), "cc-large"), edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = stash(small.where("u <> v").distinct(), "cc-small")
+        unstash(last, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
         before = now
 
 
-def _groups(fps: DataFrame) -> DataFrame:
-    """(fp, n_near, component_id, root) of each fingerprint in a written table of fingerprints; root names its group of near duplicates."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, n_near, component_id) for each row of docs.
+
+    A null or empty text has fingerprint 0 and links like any other. Repeated rows are documents of their own that link to each other.
+    Null ids count as documents but can't name a component unless all its ids are null. Other columns aren't read. An empty table gives none.
+    """
+    fps = stash(fingerprints(docs, id_col, text_col), "simhash")
     groups = stash(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "simhash-groups")
     found = stash(links(groups), "simhash-links")
     near = found.groupBy("fp").agg(F.sum("near").alias("near"))
     roots = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")))
     reps = groups.join(near, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     reps = stash(reps, "simhash-reps")
+    unstash(groups, found)
     firsts = reps.groupBy("root").agg(F.min("first").alias("component_id"))
-    return reps.join(firsts, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id", "root")
+    reps = reps.join(firsts, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
+    return fps.join(reps, "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, n_near, component_id) for each row of docs.
+@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def _print_and_keys(texts: pa.Array) -> pa.Array:
+    each = [shingles(t.lower().split()) for t in raw(texts)]
+    fps = np.array([majority(h) for h in each], np.uint64).view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(fps), pa.array([sample_keys(h) for h in each], pa.list_(pa.int64()))], names=["fp", "keys"])
 
-    A null or empty text has fingerprint 0 and links like any other. Repeated rows are documents of their own that link to each other.
-    Null ids count as documents but can't name a component unless all its ids are null. An empty table gives none.
+
+def wide_links(prints: DataFrame) -> DataFrame:
+    """(fp, root) from (fp, keys): edges to a smaller fingerprint within WIDE bits that shares a key.
+
+    A bucket above HOT is cut into parts by a hash of the fingerprint; what leads each part meets again in a second round, so only leaders, one
+    for a cluster of copies and part, share a task.
     """
-    fps = stash(fingerprints(docs, id_col, text_col), "simhash")
-    return fps.join(_groups(fps), "fp").select("doc_id", "fp", "n_near", "component_id")
+    lanes = prints.select("fp", F.posexplode("keys").alias("tab", "key"))
+    hot = stash(lanes.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "simhash-hot")
+    lanes = lanes.join(hot, ["tab", "key"], "left").select("tab", F.coalesce(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / HOT)), F.lit(0)).alias("sub"), "key", "fp", F.coalesce("n", F.lit(0)).alias("n"))
+    lanes = lanes.repartition("tab", "sub", "key").sortWithinPartitions("tab", "sub", "key", "fp")
+    once = stash(lanes.mapInArrow(lambda b: _links(b, _lead), _LED_DDL), "simhash-led")
+    leaders = once.where("fp = root").select("tab", F.lit(0).alias("sub"), "key", "fp", F.lit(0).cast("long").alias("n")).repartition("tab", "key").sortWithinPartitions("tab", "key", "fp")
+    again = leaders.mapInArrow(lambda b: _links(b, _lead), _LED_DDL)
+    return once.where("fp <> root").select("fp", "root").unionByName(again.select("fp", "root"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of near duplicates: one with the group's smallest id, or with a null id if it has no other.
+    """One row of docs for each group of near copies: texts of one fingerprint, or within WIDE bits that share a sample of shingles, one by one.
 
-    Groups stay apart whatever their ids: those with null ids, or with an id that rows of another group bear too, keep a row each.
+    It is the one with the smallest id, null last, then the least hash of all columns, so that reruns agree. Ids are otherwise not asked: groups
+    with null ids, or with an id that rows of another group bear too, keep a row each. Null and empty texts are one group. docs may have any
+    other columns, whatever their names (maps don't take part in the order). An empty table gives none. Texts are written once with a number
+    for each row, and shuffled once, by that number.
     """
-    fps = stash(fingerprints(docs, id_col, text_col, keyed=True), "simhash")
-    firsts = fps.join(_groups(fps), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stash(firsts.groupBy("root").agg(F.min("__a").alias("__a"), F.min_by("__b", "__a").alias("__b")).drop("root"), "simhash-stay")
-    rows = docs.select("*", *_keys(id_col, text_col)).join(stay, ["__a", "__b"], "left_semi")
-    repeat = Window.partitionBy("__a", "__b").orderBy("__a")
-    return rows.withColumn("__k", F.row_number().over(repeat)).where("__k = 1").select(*docs.columns)
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """first_of_each for tables whose ids name documents: of rows of several groups that share an id, not null, one stays."""
-    text = F.xxhash64(text_col)
-    same = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), text)).orderBy(text)
-    return first_of_each(docs, id_col, text_col).withColumn("__k", F.row_number().over(same)).where("__k = 1").select(*docs.columns)
+    ship(docs.sparkSession)
+    order = F.xxhash64(*[column(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = docs.select(whole(docs), F.col(id_col).cast("long").alias("doc_id"), order.alias("h"), F.monotonically_increasing_id().alias("uid"), _print_and_keys(F.col(text_col)).alias("p"))
+    rows = stash(rows.select("row", "doc_id", "h", "uid", "p.fp", "p.keys"), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "uid")).alias("first")
+    prints = stash(rows.groupBy("fp").agg(first, F.min_by("keys", "uid").alias("keys")), "simhash-prints")
+    roots = components(wide_links(prints.select("fp", "keys")).select(F.col("fp").alias("u"), F.col("root").alias("v")))
+    grouped = prints.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    stay = stash(grouped.agg(F.min("first").alias("first")).select("first.uid"), "simhash-stay")
+    return rows.select("row", "uid").join(stay, "uid", "left_semi").select("row.*")

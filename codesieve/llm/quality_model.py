@@ -2,7 +2,8 @@
 
 Evidence of a document: the log odds of the distinctive features it shows (words, runs of signs, shares of capitals, signs and repeats), learned
 from labelled documents with every odds shrunk toward the global one. Site rates: the expected rejects of all documents by host and by path
-within the host, each level shrunk toward the one above it. Posterior log odds: evidence plus those of the document's path.
+within the host, each level shrunk toward the one above it. Posterior log odds: evidence plus those of the document's path. How strongly hosts and
+paths are shrunk is estimated from how far they lie apart beyond chance (method of moments).
 """
 
 from __future__ import annotations
@@ -18,19 +19,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import raw, ship, slices, stash
+from ._shared import raw, ship, slices, stash, whole
 
 #: Labelled documents that the features are learned from, at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
 #: A feature counts if it raises the log odds by so much even when its counts are this many deviations worse than they look.
 MIN_GAIN, DOUBT = 1.5, 1.0
-#: Strength of the global odds in a feature's, in documents; of the level above in a site's.
-SHRINK, SITE = 1.0, 50.0
+#: Strength of the global odds in a feature's, in documents; least and greatest of a level of sites in the one below it.
+SHRINK, WEAK, STRONG = 1.0, 1.0, 1e6
 REJECT = 0.9
 _TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20,.0-9A-Za-z\x80-\xff]+").findall
 _LETTERS, _CAPITALS = re.compile(rb"[A-Za-z]").findall, re.compile(rb"[A-Z]").findall
 
 
+def strength(mean: float, between: float) -> float:
+    """Documents that a beta prior of this mean weighs, if its members' true rates have this variance; few digits, so that the order of sums doesn't show."""
+    return round(min(max(mean * (1 - mean) / max(between, 1e-12) - 1, WEAK), STRONG), 2)
+
+
 def features(text: bytes) -> set[bytes]:
     low = text.lower()
     tokens = _TOKENS(low)
@@ -65,7 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     ship(docs.sparkSession)
     chosen = labels.select(F.col(id_col).cast("long").alias("__id"), F.expr(f"CAST({bad} AS int)").alias("bad")).where("__id IS NOT NULL AND bad IS NOT NULL")
     chosen = stash(chosen.orderBy(F.xxhash64("__id"), "__id", "bad").limit(max_labelled), "labelled")
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), "bad")  # at most max_labelled pairs of numbers
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "bad")  # at most max_labelled pairs of numbers
     one = rows.mapInArrow(_shown, "key long, bad int, features array<binary>").groupBy("key").agg(F.max(F.struct("bad", "features")).alias("x"))
     one = stash(one.select("x.*"), "labelled-features")  # near copies would make their chance words look distinctive
     seen = one.select(F.explode("features").alias("feature"), "bad").groupBy("feature").agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad"))
@@ -92,15 +98,26 @@ def _scorer(spark: SparkSession, gains: dict[bytes, float]):
     return evidence
 
 
+def _beyond_chance(sites: DataFrame, above: Column | float) -> float:
+    """Variance of the sites' rates around that above, without what the documents within them spread: sites have n, k and q, sums of 1, x and x * x."""
+    mean = F.col("k") / F.col("n")
+    m = sites.agg(F.avg((mean - above) ** 2).alias("v"), F.avg(1 / F.col("n")).alias("one"), F.sum(F.col("q") - F.col("k") * mean).alias("within"), F.sum(F.col("n") - 1).alias("free")).first()
+    return (m["v"] or 0.0) - (m["within"] or 0.0) / max(1, m["free"] or 0) * (m["one"] or 0.0)
+
+
 def _sites(scored: DataFrame, p: float) -> DataFrame:
-    """(__h, __p, host_rate, path_rate) from (host, path, evidence): hosts shrunk toward all documents, paths toward their host."""
+    """(h, p, host_rate, path_rate) from (host, path, evidence): hosts shrunk toward all documents, paths toward their host."""
     alone = 1 / (1 + F.exp(-(F.col("evidence") + math.log(p / (1 - p)))))
-    # Whole millionths, so that the sums don't depend on the order of rows.
-    paths = stash(scored.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum(F.round(alone * 1e6).cast("long")) / 1e6).alias("k")), "paths")
-    whole = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    base = ((whole["k"] or 0) + p) / ((whole["n"] or 0) + 1)
-    hosts = paths.groupBy("host").agg(((F.sum("k") + SITE * base) / (F.sum("n") + SITE)).alias("host_rate")).withColumnRenamed("host", "__h")
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("__h"))).select(F.col("host").alias("__h"), F.col("path").alias("__p"), "host_rate", ((F.col("k") + SITE * F.col("host_rate")) / (F.col("n") + SITE)).alias("path_rate"))
+    millionths = lambda x: F.sum(F.round(x * 1e6).cast("long")) / 1e6  # noqa: E731  # whole, so that the sums don't depend on the order of rows
+    paths = stash(scored.groupBy("host", "path").agg(F.count("*").alias("n"), millionths(alone).alias("k"), millionths(alone * alone).alias("q")), "paths")
+    hosts = stash(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "k", "q")]), "hosts")
+    every = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    base = round(((every["k"] or 0) + p) / ((every["n"] or 0) + 1), 9)
+    by_host = strength(base, _beyond_chance(hosts, base))
+    hosts = stash(hosts.select(F.col("host").alias("h"), (F.col("k") / F.col("n")).alias("mean"), ((F.col("k") + by_host * base) / (F.col("n") + by_host)).alias("host_rate")), "host-rates")
+    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
+    by_path = strength(base, _beyond_chance(paths, F.col("mean")))
+    sites = paths.select("h", F.col("path").alias("p"), "host_rate", ((F.col("k") + by_path * F.col("host_rate")) / (F.col("n") + by_path)).alias("path_rate"))
     return stash(sites, "sites")  # of known size: broadcast only under Spark's threshold
 
 
@@ -108,25 +125,31 @@ def _posterior(evidence: Column) -> Column:
     return 1 / (1 + F.exp(-(evidence + F.log(F.col("path_rate") / (1 - F.col("path_rate"))))))
 
 
+def _judged(scored: DataFrame, p: float, reject: float) -> DataFrame:
+    """scored, with host_rate, path_rate, p_reject and kept."""
+    sites = _sites(scored.select("host", "path", "evidence"), p)
+    judged = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))).withColumn("p_reject", _posterior(F.col("evidence")))
+    return judged.withColumn("kept", F.col("p_reject") <= reject)
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", reject: float = REJECT, **training) -> DataFrame:
     """(doc_id, host, path, evidence, host_rate, path_rate, p_reject, kept) for each row of docs.
 
     The sites' rates come from all documents. A null or empty text shows no distinctive feature; null hosts and paths are sites of their own; repeated
-    rows are judged alike. Without labels the global rate is one half and nothing is distinctive. An empty table gives none.
+    rows are judged alike. Without labels the global rate is one half and nothing is distinctive. Other columns aren't read. An empty table gives none.
     """
     gains, p = train(docs, labels, id_col=id_col, text_col=text_col, **training)
     score = _scorer(docs.sparkSession, gains)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), score(F.col(text_col)).alias("evidence"))
-    scored = stash(rows, "evidence")
-    judged = scored.join(_sites(scored, p), F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p"))).withColumn("p_reject", _posterior(F.col("evidence")))
-    return judged.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "p_reject", (F.col("p_reject") <= reject).alias("kept"))
+    return _judged(stash(rows, "evidence"), p, reject).select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "p_reject", "kept")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", reject: float = REJECT, **training) -> DataFrame:
-    """The rows of docs that classify() keeps. Texts are scored twice and never shuffled while the sites' table is small enough to be broadcast."""
+    """The rows of docs that classify() keeps, which see; docs may have any other columns, whatever their names.
+
+    Texts are scored once, written with their evidence, and never shuffled while the sites' table is small enough to be broadcast.
+    """
     gains, p = train(docs, labels, id_col=id_col, text_col=text_col, **training)
     score = _scorer(docs.sparkSession, gains)
-    host, path = F.col(host_col).cast("string"), F.col(path_col).cast("string")
-    sites = _sites(stash(docs.select(host.alias("host"), path.alias("path"), score(F.col(text_col)).alias("evidence")), "evidence"), p)
-    judged = docs.withColumn("__evidence", score(F.col(text_col))).join(sites, host.eqNullSafe(F.col("__h")) & path.eqNullSafe(F.col("__p")))
-    return judged.where(_posterior(F.col("__evidence")) <= reject).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(whole(docs), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), score(F.col(text_col)).alias("evidence"))
+    return _judged(stash(rows, "scored"), p, reject).where("kept").select("row.*")

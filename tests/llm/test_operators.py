@@ -126,9 +126,6 @@ def test_simhash(docs, rows, empty):
     want = ordered((i, f - (1 << 64) if f >> 63 else f, n, c) for (i, f), n, c in zip(items, near, comp))
     assert table(neardup.near_duplicates(docs)) == want
     assert neardup.near_duplicates(empty).collect() == []
-    kept = neardup.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert ordered((r["doc_id"],) for r in kept.collect()) == ordered({(c,) for c in comp})
 
 
 def test_each_group_keeps_a_row(spark):
@@ -141,7 +138,26 @@ def test_each_group_keeps_a_row(spark):
     blank = [r for r in kept if not r["text"]]
     assert len(blank) == 1 and blank[0]["doc_id"] is None
     assert ordered(tuple(r) for r in kept if r["text"]) == ordered([(None, a), (None, b), (5, c), (5, d), (1, e)])
-    assert ordered(r["text"] for r in neardup.one_of_each(docs).collect() if r["doc_id"] is None and r["text"]) == ordered([a, b])
+
+
+def changed(text, part, rng):
+    """A copy with about this part of its words replaced."""
+    return " ".join(f"new{rng.randrange(10**6)}" if rng.random() < part else w for w in text.split())
+
+
+@pytest.mark.parametrize("hot", [8, 1024])
+def test_near_copies_go(spark, monkeypatch, hot):
+    """Copies with up to a tenth of their words changed, also in a large group, and those that share a part only stay."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    rng = random.Random(21)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))) for _ in range(150)]
+    rows = [(k, t) for k, t in enumerate(base)]
+    rows += [(1000 + 10 * k + j, changed(t, (0.01, 0.03, 0.06, 0.1)[j], rng)) for k, t in enumerate(base) for j in range(4)]
+    rows += [(5000 + j, changed(base[0], 0.05, rng)) for j in range(200)]
+    rows += [(9000 + k, " ".join(t.split()[:20]) + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(100))) for k, t in enumerate(base)]
+    kept = {r["doc_id"] for r in neardup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert kept >= set(range(150)) | {9000 + k for k in range(150)}
+    assert len(kept) - 300 <= 0.05 * 800
 
 
 @pytest.mark.parametrize("hot", [4, 1024])
@@ -181,10 +197,10 @@ def test_components(spark):
 
 def test_near_lanes():
     rng = random.Random(5)
-    for radius in (0, 1, 2):
+    for radius in (0, 1, 2, 5, 16):
         base = [rng.getrandbits(64) for _ in range(5)]
         sizes = np.array(sorted((rng.randint(1, 30) for _ in range(9)), reverse=True))
-        fps = np.array([base[rng.randrange(5)] ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) for _ in range(sizes.sum())], np.uint64)
+        fps = np.array([base[rng.randrange(5)] ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, radius + 3))) for _ in range(sizes.sum())], np.uint64)
         a, b = neardup.near_lanes(fps, sizes, radius)
         bucket = np.repeat(np.arange(9), sizes)
         want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bucket[i] == bucket[j] and bin(int(fps[i] ^ fps[j])).count("1") <= radius}
