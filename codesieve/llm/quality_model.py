@@ -27,7 +27,9 @@ MAX_LABELLED = 20_000
 MIN_GAIN, DOUBT = 1.5, 1.0
 #: Strength of the global odds in a feature's, in documents; least and greatest of a level of sites in the one below it.
 SHRINK, WEAK, STRONG = 1.0, 1.0, 1e6
-REJECT = 0.9
+REJECT = 0.8
+#: Stands for showing no distinctive feature, which is evidence as well.
+NONE = b"\x00none"
 _TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[^\x00-\x20,.0-9A-Za-z\x80-\xff]+").findall
 _LETTERS, _CAPITALS = re.compile(rb"[A-Za-z]").findall, re.compile(rb"[A-Z]").findall
 
@@ -66,8 +68,15 @@ def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(_sketch, each), pa.int64()), part.column("bad"), pa.array([sorted(f) for f in each], pa.list_(pa.binary()))], names=["key", "bad", "features"])
 
 
+def _plain(known: frozenset[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bad of the rows that show none of the known features."""
+    for b in batches:
+        shows = [any(bytes(f) in known for f in row) for row in b.column("features").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("bad").filter(pa.array([not s for s in shows], pa.bool_()))], names=["bad"])
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bad: str = "quality = 0 OR toxic = 1", max_labelled: int = MAX_LABELLED) -> tuple[dict[bytes, float], float]:
-    """(log odds by feature, global rate of rejects). Labels with a null id or verdict don't count; of several for an id each counts."""
+    """(log odds by feature and of NONE, global rate of rejects). Labels with a null id or verdict don't count; of several for an id each counts."""
     ship(docs.sparkSession)
     chosen = labels.select(F.col(id_col).cast("long").alias("__id"), F.expr(f"CAST({bad} AS int)").alias("bad")).where("__id IS NOT NULL AND bad IS NOT NULL")
     chosen = stash(chosen.orderBy(F.xxhash64("__id"), "__id", "bad").limit(max_labelled), "labelled")
@@ -82,7 +91,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     many = F.col("good") + DOUBT * F.sqrt(F.col("good") + 1)
     gain = F.log((few + SHRINK * p) / (many + SHRINK * (1 - p))) - math.log(p / (1 - p))
     kept = seen.where(gain > MIN_GAIN).select("feature", gain.alias("gain"))
-    return {bytes(r["feature"]): r["gain"] for r in kept.collect()}, p  # features of a bounded sample
+    gains = {bytes(r["feature"]): r["gain"] for r in kept.collect()}  # features of a bounded sample
+    plain = one.mapInArrow(lambda b: _plain(frozenset(gains), b), "bad int").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).first()
+    few, many = (plain["bad"] or 0) + SHRINK * p, plain["n"] - (plain["bad"] or 0) + SHRINK * (1 - p)
+    return gains | {NONE: math.log(few / many) - math.log(p / (1 - p))}, p
 
 
 def _scorer(spark: SparkSession, gains: dict[bytes, float]):
@@ -93,7 +105,7 @@ def _scorer(spark: SparkSession, gains: dict[bytes, float]):
     def evidence(texts: pa.Array) -> pa.Array:
         gain = model.value
         known = frozenset(gain)
-        return pa.array([sum(sorted(gain[f] for f in features(t) & known)) for t in raw(texts)], pa.float64())
+        return pa.array([sum(sorted(gain[f] for f in features(t) & known or (NONE,))) for t in raw(texts)], pa.float64())
 
     return evidence
 
@@ -135,7 +147,7 @@ def _judged(scored: DataFrame, p: float, reject: float) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", reject: float = REJECT, **training) -> DataFrame:
     """(doc_id, host, path, evidence, host_rate, path_rate, p_reject, kept) for each row of docs.
 
-    The sites' rates come from all documents. A null or empty text shows no distinctive feature; null hosts and paths are sites of their own; repeated
+    The sites' rates come from all documents. A null or empty text shows none of the distinctive features; null hosts and paths are sites of their own; repeated
     rows are judged alike. Without labels the global rate is one half and nothing is distinctive. Other columns aren't read. An empty table gives none.
     """
     gains, p = train(docs, labels, id_col=id_col, text_col=text_col, **training)
