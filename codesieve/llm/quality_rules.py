@@ -1,11 +1,14 @@
 """Host-level quality rules: failures of each rule by host, shrunk by an empirical beta prior, joined back to the documents.
 
-A document that fails a base rule goes. One that fails a soft rule goes unless its host all but never fails that rule; and a
-host whose documents mostly fail, beyond doubt after shrinking, is condemned with all that is on it.
+A document that fails a base rule goes. Soft rules have a usual limit and a strict one, and the posterior of the document's host decides which holds:
+the strict one where the host's rate for the rule, or for the base rules, lies above the prior's mean by SUSPECT prior deviations, the usual one elsewhere, and
+none where the host all but never fails the rule. A host whose documents mostly fail, beyond doubt after shrinking, is condemned with all that is on it.
+Where hosts hardly differ, the fitted prior is narrow, posteriors lie close to it, and few documents are judged by the strict limits.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,16 +22,18 @@ _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
-#: rule -> SQL of its failure over the counts (n_lines: lines with a word). Integers only, so every engine agrees.
+#: rule -> SQL of its failure over the counts (n_lines: lines with a word), and by the strict limit. Integers only, so every engine agrees.
 SOFT = {
-    "symbols": "10 * n_symbols > n_words",
-    "lines": "n_dup_lines > 3 AND 2 * n_dup_lines > n_lines",
-    "length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words)",
+    "symbols": ("10 * n_symbols > n_words", "25 * n_symbols > n_words"),
+    "lines": ("n_dup_lines > 3 AND 2 * n_dup_lines > n_lines", "n_dup_lines > 1 AND 4 * n_dup_lines > n_lines"),
+    "repeats": ("100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words > 20 * n_words"),
+    "length": ("n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words)", "n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words)"),
 }
 BASE = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words"
-#: A host below this shrunk rate of a rule keeps the few documents that fail it; one surely above CONDEMNED loses all.
+#: A host below this shrunk rate of a rule keeps the few documents that fail it; one surely above CONDEMNED loses all; one above the prior by SUSPECT deviations is judged strictly.
 TOLERATED = 0.001
-CONDEMNED = 0.8
+CONDEMNED = 0.5
+SUSPECT = 0.5
 
 
 def counts(text: str) -> tuple[int, int, int, int, int, int]:
@@ -73,11 +78,12 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def _rules() -> dict[str, str]:
-    return {"base": BASE, **SOFT}
+    return {"base": BASE, **{r: usual for r, (usual, _) in SOFT.items()}}
 
 
-def host_rates(stats: DataFrame) -> DataFrame:
-    """(host, n_docs, and for each rule rate_<rule>, sd_<rule>): posterior mean and deviation of the failure rate under a beta prior fitted to all hosts by moments."""
+def host_rates(stats: DataFrame, suspect: float = SUSPECT) -> DataFrame:
+    """(host, n_docs, and for each rule rate_<rule>, sd_<rule>, suspect_<rule>): posterior mean and deviation of the failure rate under a beta prior
+    fitted to all hosts by moments, and whether the mean is above the prior's by so many prior deviations."""
     per = stats.groupBy("host").agg(F.count("*").alias("n_docs"), *[F.count_if(F.expr(sql)).alias(f"k_{r}") for r, sql in _rules().items()])
     per = stash(per, "hosts")
     moments = []
@@ -92,22 +98,27 @@ def host_rates(stats: DataFrame) -> DataFrame:
         strength = min(max(mean * (1 - mean) / between - 1, 2.0), 1000.0)
         a, b = max(mean * strength, 1e-3), max((1 - mean) * strength, 1e-3)
         p = (F.col(f"k_{r}") + a) / (F.col("n_docs") + a + b)
-        columns += [p.alias(f"rate_{r}"), F.sqrt(p * (1 - p) / (F.col("n_docs") + a + b + 1)).alias(f"sd_{r}")]
+        high = a / (a + b) + suspect * math.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+        columns += [p.alias(f"rate_{r}"), F.sqrt(p * (1 - p) / (F.col("n_docs") + a + b + 1)).alias(f"sd_{r}"), (p > high).alias(f"suspect_{r}")]
     return per.select(*columns)
 
 
-def judge(docs: DataFrame, *, tolerated: float = TOLERATED, condemned: float = CONDEMNED, **columns) -> DataFrame:
-    """(doc_id, host, the counts, base_failed, soft_failed, host_condemned, kept) for each row of docs.
+def judge(docs: DataFrame, *, tolerated: float = TOLERATED, condemned: float = CONDEMNED, suspect: float = SUSPECT, **columns) -> DataFrame:
+    """(doc_id, host, the counts, base_failed, soft_failed, strict_failed, host_suspect, host_condemned, kept) for each row of docs.
 
-    A null or empty text has no words and fails the base rules; a null host is a host of its own. Repeated rows are judged alike and count for their
-    host as often as they are there. An empty table gives none.
+    soft_failed: by a usual limit that holds on the host; strict_failed: by a strict one; host_suspect: some strict limit holds on the host. A null or empty
+    text has no words and fails the base rules; a null host is a host of its own. Repeated rows are judged alike and count for their
+    host as often as they are there. Other columns aren't read. An empty table gives none.
     """
     stats = stash(statistics(docs, **columns), "rule-counts")
-    rates = stash(host_rates(stats), "host-rates")  # of known size: broadcast only under Spark's threshold
+    rates = stash(host_rates(stats, suspect), "host-rates")  # of known size: broadcast only under Spark's threshold
     bad = F.greatest(*[F.col(f"rate_{r}") - 2 * F.col(f"sd_{r}") for r in _rules()]) > condemned
-    soft = F.lit(False)
-    for r, sql in SOFT.items():
-        soft = soft | (F.expr(sql) & (F.col(f"rate_{r}") > tolerated))
+    soft, strict, some = F.lit(False), F.lit(False), F.col("suspect_base")
+    for r, (usual, closer) in SOFT.items():
+        soft = soft | (F.expr(usual) & (F.col(f"rate_{r}") > tolerated))
+        strict = strict | (F.expr(closer) & (F.col("suspect_base") | F.col(f"suspect_{r}")))
+        some = some | F.col(f"suspect_{r}")
     judged = stats.join(rates.withColumnRenamed("host", "__h"), F.col("host").eqNullSafe(F.col("__h")))
     base = F.expr(BASE)
-    return judged.select("doc_id", "host", *COUNTS, base.alias("base_failed"), soft.alias("soft_failed"), bad.alias("host_condemned"), (~(base | soft | bad)).alias("kept"))
+    verdict = ~(base | soft | strict | bad)
+    return judged.select("doc_id", "host", *COUNTS, base.alias("base_failed"), soft.alias("soft_failed"), strict.alias("strict_failed"), some.alias("host_suspect"), bad.alias("host_condemned"), verdict.alias("kept"))

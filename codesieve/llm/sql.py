@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import CONTROLS
-from .quality_rules import BASE, CONDEMNED, SOFT, TOLERATED
+from .quality_rules import BASE, CONDEMNED, SOFT, SUSPECT, TOLERATED
 
 _SPACED = r"[^\x20\x09-\x0D]+"
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,7 +49,7 @@ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) A
 CAST(sum(size) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id
 """
 
-_RULES = {"base": BASE, **SOFT}
+_RULES = {"base": BASE, **{r: usual for r, (usual, _) in SOFT.items()}}
 
 
 def _rates() -> str:
@@ -58,7 +58,8 @@ def _rates() -> str:
     strengths = ", ".join(f"least(greatest(m_{r} * (1 - m_{r}) / greatest(v_{r} - m_{r} * (1 - m_{r}) * inv, 1e-6) - 1, 2.0), 1000.0) AS s_{r}" for r in _RULES)
     priors = ", ".join(f"greatest(m_{r} * s_{r}, 1e-3) AS a_{r}, greatest((1 - m_{r}) * s_{r}, 1e-3) AS b_{r}" for r in _RULES)
     means = ", ".join(f"(k_{r} + a_{r}) / (n + a_{r} + b_{r}) AS rate_{r}" for r in _RULES)
-    deviations = ", ".join(f"sqrt(rate_{r} * (1 - rate_{r}) / (n + a_{r} + b_{r} + 1)) AS sd_{r}" for r in _RULES)
+    high = "a_{r} / (a_{r} + b_{r}) + {s} * sqrt(a_{r} * b_{r} / ((a_{r} + b_{r}) * (a_{r} + b_{r}) * (a_{r} + b_{r} + 1)))"
+    deviations = ", ".join(f"sqrt(rate_{r} * (1 - rate_{r}) / (n + a_{r} + b_{r} + 1)) AS sd_{r}, rate_{r} > {high.format(r=r, s=SUSPECT)} AS suspect_{r}" for r in _RULES)
     return (
         f"h AS (SELECT host, count(*) AS n, {', '.join(f'count(*) FILTER (WHERE {sql}) AS k_{r}' for r, sql in _RULES.items())} FROM x GROUP BY host), m AS (SELECT {moments}, avg(1.0 / n) AS inv FROM h), "
         f"q AS (SELECT *, {strengths} FROM m), p AS (SELECT *, {priors} FROM q), y AS (SELECT h.*, p.*, {means} FROM h CROSS JOIN p), z AS (SELECT *, {deviations} FROM y)"
@@ -76,7 +77,9 @@ r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id
 x AS (SELECT d.doc_id, d.host, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(array_to_string(d.w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
 CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id),
 {_rates()},
-j AS (SELECT x.*, ({BASE}) AS base_failed, ({" OR ".join(f"(({sql}) AND rate_{r} > {TOLERATED})" for r, sql in SOFT.items())}) AS soft_failed, greatest({", ".join(f"rate_{r} - 2 * sd_{r}" for r in _RULES)}) > {CONDEMNED} AS host_condemned
+j AS (SELECT x.*, ({BASE}) AS base_failed, ({" OR ".join(f"(({usual}) AND rate_{r} > {TOLERATED})" for r, (usual, _) in SOFT.items())}) AS soft_failed,
+({" OR ".join(f"(({closer}) AND (suspect_base OR suspect_{r}))" for r, (_, closer) in SOFT.items())}) AS strict_failed, ({" OR ".join(f"suspect_{r}" for r in _RULES)}) AS host_suspect,
+greatest({", ".join(f"rate_{r} - 2 * sd_{r}" for r in _RULES)}) > {CONDEMNED} AS host_condemned
 FROM x JOIN z ON x.host IS NOT DISTINCT FROM z.host)
-SELECT doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, host_condemned, NOT (base_failed OR soft_failed OR host_condemned) AS kept FROM j
+SELECT doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, strict_failed, host_suspect, host_condemned, NOT (base_failed OR soft_failed OR strict_failed OR host_condemned) AS kept FROM j
 """
