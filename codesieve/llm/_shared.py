@@ -55,6 +55,11 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return stashed
 
 
+def again(table: DataFrame) -> DataFrame:
+    """A table that stash() returned, read once more: for joins of what comes from it with itself."""
+    return table.sparkSession.read.schema(table.schema).parquet(table._stashed_at)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

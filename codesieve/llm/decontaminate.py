@@ -1,116 +1,163 @@
-"""Benchmark decontamination with a positional inverted index that is distributed by document.
-
-Each slice of documents indexes its own token postings (term -> rising positions). A phrase takes the posting list of its rarest
-term, by the term's count over the whole corpus, subtracts the term's offset, and intersects with the offset-adjusted lists
-of the other terms from rare to frequent. Only the phrases travel; they are sent to the executors while they have at most MAX_WORDS words, and
-in several such parts, each over all documents, above that.
+"""Benchmark decontamination with a stored positional inverted index.
+
+One pass over the documents writes the index: for each chunk of documents the postings (term -> rising places) of the terms that the benchmark may
+have. Phrases and postings meet in the cluster: a phrase's terms are ranked by their counts over the whole corpus, the phrase joins the chunks that
+hold its rarest term, keeps those that hold the next one too, and in each of them the posting list of the rarest term, moved back by the term's
+offset, is intersected with the lists of the other terms, from rare to frequent. Nothing of the benchmark is sent to all executors but a bit mask of
+MASK_BITS, which says which words can't be its terms; a fuller mask stores more postings and changes no result. Terms and phrases are known by
+64 bits of hash; an exact phrase is a sequence of up to eight of them, so that no false one is to be expected in any corpus.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._shared import out, raw, ship, slices, stash
+from ._shared import again, out, raw, ship, slices, stash, unstash, whole
 
 #: On lower-cased UTF-8, where A-Z are gone, these bytes are the runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 WINDOW = 8
-#: Words of phrases that one broadcast may hold.
-MAX_WORDS = 2_000_000
+MASK_BITS = 1 << 24
+#: Words whose hashes a worker keeps, and phrases that it makes at once.
+KEPT, STEP = 1 << 19, 10_000
 
 
 def words(text: bytes) -> list[bytes]:
     return _WORDS(text.lower())
 
 
-class Phrases:
-    """The distinct windows of the items as rows of term numbers, each with the items it comes from."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            w = words(text)
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[k : k + window]), set()).add(item)
-        rows = sorted(found)
-        self.terms = {t: k for k, t in enumerate(sorted({t for r in rows for t in r}))}
-        self.length = np.array([len(r) for r in rows], np.int64)
-        self.term = np.full((len(rows), window), -9, np.int64)
-        for k, r in enumerate(rows):
-            self.term[k, : len(r)] = [self.terms[t] for t in r]
-        self.items = [sorted(found[r]) for r in rows]
-        self.order = np.tile(np.arange(window), (len(rows), 1))
-
-    def rank(self, counts: np.ndarray) -> None:
-        """counts: of each term in the corpus. Sorts each phrase's offsets from the rarest term on; phrases with a term that never occurs can't match."""
-        cost = np.where(self.term >= 0, counts[np.maximum(self.term, 0)], np.iinfo(np.int64).max)
-        self.order = np.argsort(cost, axis=1, kind="stable")
-        rows = np.arange(len(self.length))
-        self.anchor = self.term[rows, self.order[:, 0]] if len(rows) else rows
-        able = cost.min(axis=1, initial=np.iinfo(np.int64).max) > 0
-        by = np.flatnonzero(able)
-        by = by[np.argsort(self.anchor[by], kind="stable")]
-        self.by, sizes = by, np.bincount(self.anchor[by], minlength=len(self.terms))
-        self.start, self.count = np.cumsum(sizes) - sizes, sizes
-
-
-class Index:
-    """Postings of the texts of one slice, end to end; a place between two texts holds no term."""
-
-    def __init__(self, texts: list[list[bytes]], terms: dict[bytes, int]) -> None:
+def term(word: bytes) -> int:
+    """A word's number: 63 bits of hash, never 0."""
+    return (xxhash.xxh64_intdigest(word) >> 1) or 1
+
+
+# --- The benchmark ----------------------------------------------------------------------------------------------------------
+
+
+def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        for item, text in zip(part.column("item").to_pylist(), raw(part.column("text"))):
+            t = [term(w) for w in words(text)]
+            starts = range(max(1, len(t) - window + 1) if t else 0)
+            for k in range(0, len(starts), STEP):
+                found = [t[s : s + window] for s in starts[k : k + STEP]]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found)), pa.array(found, pa.list_(pa.int64()))], names=["item", "terms"])
+
+
+def phrases(bench: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, pid, terms): the windows of each item; an item of fewer words, but not none, is one."""
+    rows = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda b: _windows(window, b), "item string, terms array<long>").distinct().select("item", F.xxhash64("terms").alias("pid"), "terms")
+
+
+def mask_of(terms: DataFrame) -> np.ndarray:
+    """Bits of the places that the terms of a table (term) have; MASK_BITS / 8 bytes, whatever the number of terms."""
+    place = F.col("term").bitwiseAND(F.lit(MASK_BITS - 1)) + 1
+    rows = terms.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    mask = np.zeros(MASK_BITS // 8, np.uint8)
+    for r in rows:
+        mask[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return mask
+
+
+# --- The index --------------------------------------------------------------------------------------------------------------
+
+
+class Terms(dict):
+    """Word -> its number, or 0 if the mask rules it out; forgets all at KEPT words."""
+
+    def __init__(self, mask: np.ndarray) -> None:
+        self.mask, self.last = mask.tobytes(), 8 * len(mask) - 1
+
+    def __missing__(self, word: bytes) -> int:
+        t = term(word)
+        at = t & self.last
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = t = t if self.mask[at >> 3] >> (at & 7) & 1 else 0
+        return t
+
+
+_INDEX_DDL = "bid long, ids binary, none binary, hashes binary, n binary, terms array<long>, counts array<int>, places binary"
+_INDEX = pa.schema([("bid", pa.int64()), ("ids", pa.binary()), ("none", pa.binary()), ("hashes", pa.binary()), ("n", pa.binary()), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary())])
+
+
+def _post(mask, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, context, k = Terms(mask.value), TaskContext.get(), 0
+    first = (context.partitionId() if context else 0) << 33
+    for part in slices(batches):
+        texts = [words(t) for t in raw(part.column("text"))]
         n = np.array([len(t) for t in texts], np.int64)
-        self.n, self.start = n, np.cumsum(n + 1) - n - 1
-        flat = np.full(int(n.sum()) + len(n) + 64, -1, np.int64)
-        get = terms.get
-        for t, at in zip(texts, self.start.tolist()):
-            flat[at : at + len(t)] = np.fromiter(map(get, t, repeat(-1)), np.int64, len(t))
-        self.flat = flat
-        held = np.flatnonzero(flat >= 0)
-        self.post = held[np.argsort(flat[held], kind="stable")]
-        sizes = np.bincount(flat[held], minlength=len(terms))
-        self.size, self.first = sizes, np.cumsum(sizes) - sizes
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.post[self.first[term] : self.first[term] + self.size[term]]
-
-    def phrases(self, p: Phrases, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, start) of every exact occurrence. Places of the rarest term's list stay if each other term is at its offset."""
-        todo = np.flatnonzero((self.size > 0) & (p.count > 0))
-        found_p, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        cost = self.size[todo] * p.count[todo]
-        for part in np.split(todo, np.searchsorted(np.cumsum(cost), np.arange(step, int(cost.sum()) + 1, step))) if len(todo) else ():
-            for t in part:
-                mine, posts = p.by[p.start[t] : p.start[t] + p.count[t]], self.postings(t)
-                wide = max(1, step // max(1, len(mine)))
-                for k in range(0, len(posts), wide):
-                    here = posts[k : k + wide]
-                    ph, at = np.repeat(mine, len(here)), np.tile(here, len(mine)) - np.repeat(p.order[mine, 0], len(here))
-                    ph, at = ph[at >= 0], at[at >= 0]
-                    for j in range(1, p.term.shape[1]):
-                        offset = p.order[ph, j]
-                        term = p.term[ph, offset]
-                        same = (term < 0) | (self.flat[at + offset] == term)  # looked up by position, not by intersecting lists
-                        ph, at = ph[same], at[same]
-                    found_p.append(ph)
-                    found_s.append(at)
-        return np.concatenate(found_p), np.concatenate(found_s)
-
-    def near(self, terms: list[int], span: int) -> np.ndarray:
-        """Proximity: every place of one of the terms from which all of them follow, in any order, within span words of one text."""
-        if not terms or any(not self.size[t] for t in terms):
+        start = np.cumsum(n + 1) - n - 1  # a place between two texts holds no term
+        flat = np.zeros(int(n.sum()) + len(n), np.int64)
+        for t, at in zip(texts, start.tolist()):
+            flat[at : at + len(t)] = np.fromiter(map(known.__getitem__, t), np.int64, len(t))
+        held = np.flatnonzero(flat)
+        held = held[np.argsort(flat[held], kind="stable")]
+        terms, counts = np.unique(flat[held], return_counts=True)
+        delta = np.diff(held, prepend=0)
+        heads = np.cumsum(counts) - counts
+        delta[heads] = held[heads]
+        ids = part.column("doc_id")
+        row = {"bid": first + k, "ids": ids.fill_null(0).to_numpy().tobytes(), "none": np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), "hashes": part.column("h").to_numpy().tobytes()}
+        yield out({c: [v] for c, v in row.items()} | {"n": [n.tobytes()], "terms": [terms], "counts": [counts.astype(np.int32)], "places": [delta.astype(np.uint32).tobytes()]}, _INDEX)
+        k += 1
+
+
+def index(docs: DataFrame, mask: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index, written: a row for each chunk of about 2 MB of text (a longer text is a chunk) with its documents and postings."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(mask)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return stash(rows.mapInArrow(lambda b: _post(sent, b), _INDEX_DDL), "postings")
+
+
+class Postings:
+    """One row of the index."""
+
+    def __init__(self, row: dict) -> None:
+        self.n = np.frombuffer(row["n"], np.int64)
+        self.start = np.cumsum(self.n + 1) - self.n - 1
+        none = np.unpackbits(np.frombuffer(row["none"], np.uint8))[: len(self.n)]
+        self.ids = [None if x else int(i) for i, x in zip(np.frombuffer(row["ids"], np.int64), none)]
+        self.hashes = np.frombuffer(row["hashes"], np.int64)
+        counts, places = np.array(row["counts"], np.int64), np.cumsum(np.frombuffer(row["places"], np.uint32), dtype=np.int64)
+        heads = np.cumsum(counts) - counts
+        before = np.concatenate([[0], places])[heads]  # what the lists before a list's first place add up to
+        self.places = places - np.repeat(before, counts)
+        self.at = {t: (a, a + c) for t, a, c in zip(row["terms"], heads.tolist(), counts.tolist())}
+
+    def list(self, t: int) -> np.ndarray:
+        a, b = self.at.get(t, (0, 0))
+        return self.places[a:b]
+
+    def phrase(self, terms: list[int], order: list[int]) -> np.ndarray:
+        """Places where the terms follow one another: lists moved back by their offsets, intersected in this order."""
+        start = self.list(terms[order[0]]) - order[0]
+        for k in order[1:]:
+            if not len(start):
+                break
+            other = self.list(terms[k]) - k
+            if not len(other):
+                return other
+            start = start[other[np.minimum(np.searchsorted(other, start), len(other) - 1)] == start]
+        return start
+
+    def near(self, terms: set[int], span: int) -> np.ndarray:
+        """Every place of one of the terms from which all of them follow, in any order, within span words of one text."""
+        lists = sorted((self.list(t) for t in terms), key=len)
+        if not lists or not len(lists[0]):
             return np.zeros(0, np.int64)
-        lists = sorted((self.postings(t) for t in set(terms)), key=len)
         at = np.unique(np.concatenate(lists))
-        doc = np.searchsorted(self.start, at, side="right") - 1
+        doc = self.document(at)
         stop = np.minimum(at + span, self.start[doc] + self.n[doc])
         for x in lists:
             k = np.minimum(np.searchsorted(x, at), len(x) - 1)
@@ -118,88 +165,71 @@ class Index:
             at, stop = at[good], stop[good]
         return at
 
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, places, side="right") - 1
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-_HITS_DDL = "doc_id long, h long, n_words long, runs array<long>, items array<string>"
 
+# --- Search -----------------------------------------------------------------------------------------------------------------
 
-def _counts(phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    terms = phrases.value.terms
-    total = np.zeros(len(terms) + 1, np.int64)
-    for part in slices(batches):
-        for t in raw(part.column("text")):
-            w = words(t)
-            total += np.bincount(np.fromiter(map(terms.get, w, repeat(len(terms))), np.int64, len(w)), minlength=len(terms) + 1)
-    at = np.flatnonzero(total[:-1])
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
+_FOUND = pa.schema([("bid", pa.int64()), ("k", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("pids", pa.list_(pa.int64()))])
+_FOUND_DDL = "bid long, k int, doc_id long, h long, n_words long, runs array<long>, pids array<long>"
 
 
-def _search(phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    p: Phrases = phrases.value
-    for part in slices(batches):
-        index = Index([words(t) for t in raw(part.column("text"))], p.terms)
-        ph, at = index.phrases(p)
-        doc = np.searchsorted(index.start, at, side="right") - 1
-        runs: list[list[int]] = [[] for _ in index.n]
-        items: list[set[str]] = [set() for _ in index.n]
-        order = np.argsort(at, kind="stable")
-        for d, s, n, x in zip(doc[order].tolist(), (at - index.start[doc])[order].tolist(), p.length[ph[order]].tolist(), ph[order].tolist()):
-            r = runs[d]
-            if r and s <= r[-1]:
-                r[-1] = max(r[-1], s + n)
-            else:
-                r += (s, s + n)
-            items[d].update(p.items[x])
-        yield out({"doc_id": part.column("doc_id"), "h": part.column("h"), "n_words": index.n, "runs": runs, "items": [sorted(x) for x in items]}, _HITS)
-
-
-def search(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+def _match(chunk: pa.Table, asked: pa.Table) -> pa.Table:
+    """The documents of one chunk, with the merged word ranges that the asked phrases cover and those phrases."""
+    p = Postings(chunk.to_pylist()[0])
+    places, lengths, pids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for pid, terms, order in zip(*(asked.column(c).to_pylist() for c in ("pid", "terms", "places"))):
+        if len(at := p.phrase(terms, order)):
+            places.append(at)
+            lengths.append(np.full(len(at), len(terms)))
+            pids.append(np.full(len(at), pid))
+    at, size, pid = (np.concatenate(x) for x in (places, lengths, pids))
+    doc, order = p.document(at), np.argsort(at, kind="stable")
+    runs: list[list[int]] = [[] for _ in p.ids]
+    shown: list[set[int]] = [set() for _ in p.ids]
+    for d, s, n, x in zip(doc[order].tolist(), (at - p.start[doc])[order].tolist(), size[order].tolist(), pid[order].tolist()):
+        r = runs[d]
+        if r and s <= r[-1]:
+            r[-1] = max(r[-1], s + n)
+        else:
+            r += (s, s + n)
+        shown[d].add(x)
+    columns = ([chunk["bid"][0].as_py()] * len(p.ids), range(len(p.ids)), p.ids, p.hashes, p.n, runs, [sorted(x) for x in shown])
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
+
+
+def candidates(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(bid, pid, terms, places): the chunks that hold the two rarest terms of a phrase; places are the terms' offsets from the rarest term on.
+
+    wanted: (pid, terms). A phrase with a term that the corpus hasn't joins nothing.
+    """
+    held = postings.select("bid", F.explode("terms").alias("term"))
+    counts = postings.select(F.explode(F.arrays_zip("terms", "counts")).alias("c")).groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("count"))
+    each = wanted.select("pid", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "term")).join(counts, "term")
+    ranked = each.groupBy("pid", "size").agg(F.sort_array(F.collect_list(F.struct("count", "place", "term"))).alias("by")).where(F.size("by") == F.col("size"))
+    ranked = ranked.join(wanted, "pid").select("pid", "terms", F.col("by.place").alias("places"), F.get("by", F.lit(0))["term"].alias("rarest"), F.coalesce(F.get("by", F.lit(1))["term"], F.get("by", F.lit(0))["term"]).alias("next"))
+    ranked = stash(ranked, "phrases")
+    found = ranked.join(held.withColumnRenamed("term", "rarest"), "rarest")
+    return found.join(held.withColumnRenamed("term", "next"), ["bid", "next"], "left_semi").select("bid", "pid", "terms", "places")
+
+
+def search(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """(doc_id, h, n_words, runs, items) for each row of docs: h is the text's hash, runs the merged word ranges [start, end, start, end, ...] that exact phrases cover.
 
     A phrase is a window of an item, or the whole item if that is shorter; an item without words has none. Null or empty texts
-    have no words and no hits; a null item_id is the item 'null'. Repeated rows each get their row. An empty benchmark hits nothing.
+    have no words and no hits; a null item_id is the item 'null'. Repeated rows each get their row. Other columns aren't read. An empty benchmark
+    hits nothing, an empty table gives no row.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # at least its words: each takes a character and a gap
-    parts = math.ceil(max(1, size) / max_words)
-    results = []
-    for k in range(parts):
-        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        phrases = Phrases([(r["item"], r["text"].encode()) for r in mine.toLocalIterator()], window)
-        sent = spark.sparkContext.broadcast(phrases)
-        counted = rows.select("text").mapInArrow(lambda b, sent=sent: _counts(sent, b), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect() if phrases.terms else []
-        counts = np.zeros(len(phrases.terms), np.int64)
-        for r in counted:
-            counts[r["term"]] = r["n"]
-        phrases.rank(counts)
-        ready = spark.sparkContext.broadcast(phrases)
-        results.append(rows.mapInArrow(lambda b, ready=ready: _search(ready, b), _HITS_DDL))
-    if parts == 1:
-        return results[0]
-    every = results[0]
-    for r in results[1:]:
-        every = every.unionByName(r)
-    # Rows with the same id and text have the same hits; their number is brought back at the end.
-    one = every.groupBy("doc_id", "h", "n_words").agg((F.count("*") / parts).cast("int").alias("m"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    one = one.withColumn("runs", _merge("runs"))
-    return one.withColumn("m", F.explode(F.sequence(F.lit(1), "m"))).select("doc_id", "h", "n_words", "runs", "items")
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _merge(column):
-    def merge(flat):
-        done: list[int] = []
-        for s, e in sorted(zip(flat[::2].tolist(), flat[1::2].tolist())):
-            if done and s <= done[-1]:
-                done[-1] = max(done[-1], e)
-            else:
-                done += (s, e)
-        return done
-
-    return column.map(merge)
+    ship(docs.sparkSession)
+    owned = stash(phrases(bench, item_col, text_col, window), "windows")
+    wanted = owned.select("pid", "terms").dropDuplicates(["pid"])
+    postings = index(docs, mask_of(owned.select(F.explode("terms").alias("term")).distinct()), id_col, text_col)
+    asked = candidates(again(postings), wanted)
+    found = stash(postings.groupBy("bid").cogroup(asked.groupBy("bid")).applyInArrow(_match, _FOUND_DDL), "found")
+    unstash(postings)
+    items = found.select("bid", "k", F.explode("pids").alias("pid")).join(owned.select("pid", "item"), "pid").groupBy("bid", "k").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found.join(items, ["bid", "k"], "left").select("doc_id", "h", "n_words", "runs", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, *, least_items: int = 2, **options) -> DataFrame:
@@ -211,23 +241,28 @@ def contamination(docs: DataFrame, bench: DataFrame, *, least_items: int = 2, **
 
 
 def proximity(docs: DataFrame, terms: list[str], span: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, position) of each place where all the terms follow within span words; see Index.near. Terms are matched as words() gives them."""
-    ship(docs.sparkSession)
-    sent = [w for t in terms for w in words(t.encode())]
+    """(doc_id, position) of each place where all the terms follow within span words; see Postings.near. Terms are matched as words() gives them."""
+    wanted = {term(w) for t in terms for w in words(t.encode())}
+    mask = np.zeros(MASK_BITS, bool)
+    mask[[t & (MASK_BITS - 1) for t in wanted]] = True
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {t: k for k, t in enumerate(dict.fromkeys(sent))}
-        for part in slices(batches):
-            index = Index([words(t) for t in raw(part.column("text"))], known)
-            at = index.near([known[t] for t in sent], span)
-            doc = np.searchsorted(index.start, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(at - index.start[doc])], names=["doc_id", "position"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                p = Postings(row)
+                at = p.near(wanted, span)
+                doc = p.document(at)
+                yield pa.RecordBatch.from_arrays([pa.array([p.ids[d] for d in doc.tolist()], pa.int64()), pa.array(at - p.start[doc])], names=["doc_id", "position"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(find, "doc_id long, position long")
+    return index(docs, np.packbits(mask, bitorder="little"), id_col, text_col).mapInArrow(find, "doc_id long, position long")
 
 
 def clean(docs: DataFrame, bench: DataFrame, *, least_items: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold phrases of fewer than least_items items. A row without text has none and stays."""
+    """The rows of docs that hold phrases of fewer than least_items items. A row without text has none and stays; of repeated rows all stay or go.
+
+    docs may have any other columns, whatever their names.
+    """
     hits = search(docs, bench, id_col=id_col, text_col=text_col, **options).where(F.size("items") >= least_items)
-    dirty = stash(hits.select(F.col("doc_id").alias("__i"), F.col("h").alias("__h")).distinct(), "dirty")
-    return docs.join(dirty, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
+    dirty = stash(hits.select("doc_id", "h").distinct(), "dirty")
+    rows = docs.select(whole(docs), F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("t"))
+    return rows.join(dirty, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("h")), "left_anti").select("row.*")
