@@ -1,13 +1,14 @@
 """Personal data, also in disguise, at the offsets of the source text.
 
 Base detectors run on the text itself. Every text goes through transducers, each of which rewrites a text and carries the
-source span of every character: homoglyphs and invisible characters, spelled digits, at/dot disguises. Where any of them
+source span of every character: character references, homoglyphs and invisible characters, at/dot disguises, spelled digits. Where any of them
 changed something the detectors run again on what comes out, and a find that isn't in the source as it is maps back to its source characters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -123,8 +124,9 @@ _WORDS = {
     for w in words.split()
 }
 _DIGIT_WORD = "|".join(sorted(_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ -]+|\+ ?)?(?:{_DIGIT_WORD})(?:[ ,-]+(?:{_DIGIT_WORD}|[0-9]+)|[ ]*(?:[ ](?:dot|point|punkt|punto)[ ]|\.)[ ]*(?:{_DIGIT_WORD}|[0-9]+))+(?![^\W_])", re.I)
-_PART = re.compile(rf"(plus|\+)|(dot|point|punkt|punto|\.)|({_DIGIT_WORD})|([0-9]+)", re.I)
+_DASH = "dash|hyphen|minus|bindestrich|strich|tiret|guion"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ -]+|\+ ?)?(?:{_DIGIT_WORD})(?:(?:[ ,-]+|[ ]+(?:{_DASH})[ ]+)(?:{_DIGIT_WORD}|[0-9]+)|[ ]*(?:[ ](?:dot|point|punkt|punto)[ ]|\.)[ ]*(?:{_DIGIT_WORD}|[0-9]+))+(?![^\W_])", re.I)
+_PART = re.compile(rf"(plus|\+)|(dot|point|punkt|punto|\.)|({_DIGIT_WORD})|([0-9]+)|({_DASH})", re.I)
 _AT = re.compile(r"\s?[\[({<]\s?(?:at|@|arroba|klammeraffe)\s?[\])}>]\s?", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?", re.I)
 _DOTS = r"(?: dot |_dot_|-dot-| \. )"
@@ -133,6 +135,12 @@ _SAID = re.compile(rf"(?<=[A-Za-z0-9])(?: at |_at_|-at-|\s@\s)(?=[A-Za-z0-9-][A-
 _SAID_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOTS}(?=[A-Za-z0-9])|(?<=[0-9]) (?:point|punkt|punto) (?=[0-9])", re.I)
 _TOP = r"(?i:com|org|net|edu|gov|io|de|fr|es|uk|eu)\b"
 _NAMED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?: (?i:at) |\s@\s)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:({_TOP})|(?:xn--[a-z0-9-]+|[a-z]{{2,63}}|[A-Z]{{2,63}})(?![A-Za-z0-9-])))")
+#: What an address comes after: before it a plain word before ' at ' is a name, unless it is one of _NOBODY.
+_CUE = re.compile(r"(?i)(?<![^\W_])(?:e-?mail|mail|mailto|contact|address|kontakt|adresse|correo|courriel)(?:[ ](?:is|ist|est|es|to|an))?[ ]?[:=]?[ ]$")
+_NOBODY = frozenset("us me him her them it you all one uns mich mir dich ihn sie euch nous moi lui elle eux vous nos mi ella ellos usted is was are and or the a an us. addresses lists servers".split())
+_ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,12});|%(?:40|2[EeBbDd]|5[Ff])")
+#: Groups of a card between dots, slashes or underlines.
+_GROUPED = re.compile(r"(?<![0-9._/])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}(?![0-9._/]*[0-9])")
 _SHAPE = re.compile(r"[._%+0-9-]")
 _LETTER = re.compile(r"[A-Za-z]")
 
@@ -145,12 +153,27 @@ def _look_cuts(text: str) -> Iterator[Span]:
 
 def _spelled_cuts(text: str) -> Iterator[Span]:
     for m in _SPELLED.finditer(text):
-        parts = [(p.start() + m.start(), p.end() + m.start(), "+" if p[1] else "." if p[2] else _WORDS[p[3].lower()] if p[3] else p[4]) for p in _PART.finditer(m[0])]
+        parts = [(p.start() + m.start(), p.end() + m.start(), "+" if p[1] else "." if p[2] else _WORDS[p[3].lower()] if p[3] else p[4] or "-") for p in _PART.finditer(m[0])]
         if sum(len(p[2]) for p in parts) >= 4:
             for k, (a, b, new) in enumerate(parts):
                 yield a, parts[k + 1][0] if k + 1 < len(parts) else b, new
 
 
+def _entity_cuts(text: str) -> Iterator[Span]:
+    """Character references and percent codes of single printable ASCII characters."""
+    for m in _ENTITY.finditer(text):
+        new = html.unescape(m[0]) if m[0][0] == "&" else chr(int(m[0][1:], 16))
+        if len(new) == 1 and new.isascii() and new.isprintable():
+            yield *m.span(), new
+
+
+def _group_cuts(text: str) -> Iterator[Span]:
+    for m in _GROUPED.finditer(text):
+        for k in range(m.start(), m.end()):
+            if text[k] == m[1]:
+                yield k, k + 1, "-"
+
+
 def _swaps(pattern: re.Pattern, new: str):
     return lambda text: ((m.start(), m.end(), new) for m in pattern.finditer(text))
 
@@ -163,16 +186,17 @@ def _named_cuts(text: str) -> Iterator[Span]:
         while start > low and _LOCAL.match(text[start - 1]):
             start -= 1
         local, low = text[start : m.start()], m.end()
-        if _SHAPE.search(local) and (_LETTER.search(local) or m[1] and _DIGIT.search(local)):
+        shaped = _SHAPE.search(local) and (_LETTER.search(local) or m[1] and _DIGIT.search(local))
+        if shaped or local.isalpha() and local.lower() not in _NOBODY and _CUE.search(text, max(0, start - 24), start):
             yield *m.span(), "@"
 
 
 #: In this order. _SAID comes before the dots that it needs to see, and names after the dots that may shape them.
-TRANSDUCERS = (_look_cuts, _swaps(_AT, "@"), _swaps(_DOT, "."), _spelled_cuts, _swaps(_SAID, "@"), _swaps(_SAID_DOT, "."), _named_cuts)
+TRANSDUCERS = (_entity_cuts, _look_cuts, _swaps(_AT, "@"), _swaps(_DOT, "."), _spelled_cuts, _swaps(_SAID, "@"), _swaps(_SAID_DOT, "."), _named_cuts, _group_cuts)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans of the source whose disguise hides an identifier; none that shares a character with a base span of its kind."""
+    """Spans of the source whose disguise hides an identifier, or a part of it; none that lies within a base span of its kind."""
     a = Aligned(text)
     for t in TRANSDUCERS:
         a.rewrite(t(a.text))
@@ -182,7 +206,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     found = []
     for start, end, kind in detect(a.text):
         s, e = a.start[start], a.end[end - 1]
-        if text[s:e] != a.text[start:end] and not any(s < y and x < e for x, y, _ in held[kind]):
+        if text[s:e] != a.text[start:end] and not any(x <= s and e <= y for x, y, _ in held[kind]):
             found.append((s, e, kind))
     return found
 
@@ -208,7 +232,7 @@ def joined(found: list[Span]) -> str:
     return ",".join([f"{kind}:{s}:{e}" for s, e, kind in found])
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_disguised", pa.int64()), ("masked", pa.string())])
+_ROW = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_disguised", pa.int64()), ("n_found", pa.int64()), ("masked", pa.string())])
 
 
 def _scan(with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,18 +241,18 @@ def _scan(with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         for t in part.column("text").to_pylist():
             base, every = spans(t or "")
             counts = [sum(s[2] == k for s in base) for k in KINDS]
-            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), None if not with_text or t is None else mask(t, every)))
+            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), len(every), None if not with_text or t is None else mask(t, every)))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(_ROW)[1:])]], schema=_ROW)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_disguised, masked) for each row of docs; masked only with_text.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_disguised, n_found, masked) for each row of docs; masked only with_text.
 
-    The n_ of kinds count base spans; n_disguised counts the added ones. A null or empty text has no span; repeated rows each get theirs; an
+    The n_ of kinds count base spans; n_disguised counts the added ones, n_found all. A null or empty text has no span; repeated rows each get theirs; an
     empty table gives none. All patterns take time in proportion to the text.
     """
     ship(docs.sparkSession)
     kinds = ", ".join(f"n_{k} long" for k in KINDS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    done = rows.mapInArrow(lambda b: _scan(with_text, b), f"doc_id long, {kinds}, base_sha256 string, spans string, n_disguised long, masked string")
+    done = rows.mapInArrow(lambda b: _scan(with_text, b), f"doc_id long, {kinds}, base_sha256 string, spans string, n_disguised long, n_found long, masked string")
     return done if with_text else done.drop("masked")
