@@ -166,7 +166,7 @@ def joined(found: list[Span]) -> str:
     return ",".join([f"{kind}:{s}:{e}" for s, e, kind in found])
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64())])
+_ROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64()), ("n_found", pa.int64())])
 
 
 def _scan(model: np.ndarray, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +174,14 @@ def _scan(model: np.ndarray, threshold: float, batches: Iterator[pa.RecordBatch]
         rows = []
         for t in part.column("text").to_pylist():
             base, every = spans(t or "", model, threshold)
-            rows.append((*[sum(s[2] == k for s in base) for k in KINDS[:3]], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
+            rows.append((*[sum(s[2] == k for s in base) for k in KINDS[:3]], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), len(every)))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(_ROW)[1:])]], schema=_ROW)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) for each row of docs; labelled: the models' (text, label), else samples().
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, n_found) for each row of docs; labelled: the models' (text, label), else samples().
 
-    The n_ of base kinds count base spans. A null or empty text has no span; repeated rows each get theirs; an empty table gives none.
+    The n_ of base kinds count base spans, n_random the model's and n_found all. A null or empty text has no span; repeated rows each get theirs; an empty table gives none.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -189,4 +189,4 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lab
     if not math.isfinite(float(model.sum())):
         raise ValueError("the labelled samples gave no model")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda b: _scan(model, threshold, b), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return rows.mapInArrow(lambda b: _scan(model, threshold, b), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long, n_found long")
