@@ -29,7 +29,7 @@ from ._shared import ship, stash
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESCAPE = "\\"
 DEFAULT = (
-    "{% for m in messages %}<|turn|>{{ m.role | escape }}\n"
+    "{% for m in messages %}<|turn|>{{ m.role | escape_line }}\n"
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}<|end|>\n{% endfor %}"
 )
 PART_CHARS = 1 << 20
@@ -46,11 +46,16 @@ def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: ESCAPE * 2 if m[0] == ESCAPE else m[0] + ESCAPE, text)
 
 
+def escape_line(text: str) -> str:
+    """escape(), with the escape sign before every line end as well, so that the first line end without one ends the text."""
+    return escape(text).replace("\n", ESCAPE + "\n")
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-FILTERS: dict[str, Callable] = {"escape": lambda x: escape(str(x)), "trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "title": lambda x: str(x).title(), "length": len, "string": str, "first": lambda x: next(iter(x), None), "default": lambda x: "" if x is None else x}
+FILTERS: dict[str, Callable] = {"escape": lambda x: escape(str(x)), "escape_line": lambda x: escape_line(str(x)), "trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "title": lambda x: str(x).title(), "length": len, "string": str, "first": lambda x: next(iter(x), None), "default": lambda x: "" if x is None else x}
 
 # --- Syntax tree: tuples whose first entry names the node -------------------------------------------------------------------
 
@@ -508,7 +513,9 @@ def format_conversations(conversations: DataFrame, template: str = DEFAULT, *, c
     return ordered.mapInArrow(lambda b: _format(template, b), _PART_DDL)
 
 
-_TURN, _ROLE_END, _END = "<|turn|>", "\n", "<|end|>\n"
+_TURN, _END = "<|turn|>", "<|end|>\n"
+#: What escape_line() made, up to the line end that it didn't.
+_ROLE = re.compile(rf"((?:[^{re.escape(ESCAPE)}\n]|{re.escape(ESCAPE)}.)*)\n", re.S)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,8 +539,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done = rest.split(_END)
             rest = done.pop()
             for turn in done:
-                role, _, said = turn.removeprefix(_TURN).partition(_ROLE_END)
-                all_.update(f"{unescape(role)}\n{unescape(said)}\n".encode("utf-8", "surrogatepass"))
+                head = _ROLE.match(turn, len(_TURN))
+                all_.update(f"{unescape(head[1])}\n{unescape(turn[head.end() :])}\n".encode("utf-8", "surrogatepass"))
                 turns += 1
         rows.append((conv, turns, all_.hexdigest(), loss, under.hexdigest(), size))
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])

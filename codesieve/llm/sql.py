@@ -43,7 +43,7 @@ def _escapes(text: str) -> str:
 CHAT = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-t AS (SELECT *, length(role) + length(text) + 17 + {_escapes("role")} + {_escapes("text")} AS size FROM c)
+t AS (SELECT *, length(role) + length(text) + 17 + {_escapes("role")} + length(role) - length(replace(role, chr(10), '')) + {_escapes("text")} AS size FROM c)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
 CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
 CAST(sum(size) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id

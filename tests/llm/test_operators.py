@@ -207,6 +207,9 @@ def test_near_lanes():
         assert set(zip(a.tolist(), b.tolist())) == want
 
 
+SF = "/root/testdata/sf0.1"
+
+
 # 3 and 5 ------------------------------------------------------------------------------------------
 
 
@@ -290,7 +293,71 @@ def test_pii_said_at_and_dot():
         pii.spans(t)
 
 
+MORE = {
+    "mail anna59garc\u200bia@acme.com now": "anna59garc\u200bia@acme.com",
+    "see john@mail.e\u03c7ample.fr now": "john@mail.e\u03c7ample.fr",
+    "see jane&#64;example.com now": "jane&#64;example.com",
+    "see lee&commat;acme&period;co&#x2e;uk now": "lee&commat;acme&period;co&#x2e;uk",
+    "href=mailto:mary%40acme.co.uk now": "mary%40acme.co.uk",
+    "Contact: jane at example.com now": "jane at example.com",
+    "my email is jane at example.com now": "jane at example.com",
+    "call plus four nine two dash five five five dash one two three four now": "plus four nine two dash five five five dash one two three four",
+    "card 4111.1111.1111.1111 now": "4111.1111.1111.1111",
+}
+
+
+def test_pii_more_disguises():
+    for text, hidden in MORE.items():
+        base, every = pii.spans(text)
+        assert [text[s:e] for s, e, k in every if (s, e, k) not in base] == [hidden] and set(base) <= set(every), text
+        assert hidden not in pii.mask(text, every)
+    for clean in ("contact us at example.com", "Tom &amp; Jerry &#64; home", "100%40 off", "email lists at example.com", "1234.5678.9012.3456.7890"):
+        assert pii.spans(clean)[1] == [], clean
+
+
+def _hidden_identifiers(rng):
+    """(kind, plain, disguises) of invented identifiers."""
+    local = rng.choice(["john", "mary", "lee"]) + rng.choice([".", "_", str(rng.randint(1, 99))]) + rng.choice(["smith", "wolf"])
+    email = f"{local}@{rng.choice(['example', 'mail.example', 'acme'])}.{rng.choice(['com', 'org', 'co.uk'])}"
+    ip = ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    card = next(d for d in iter(lambda: "".join(rng.choices("0123456789", k=16)), None) if pii.luhn(d))
+    phone = "+4" + "".join(rng.choices("0123456789", k=rng.randint(9, 12)))
+    words = "zero one two three four five six seven eight nine".split()
+    spelled = lambda t: " ".join("plus" if c == "+" else "dot" if c == "." else words[int(c)] for c in t)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) for c in t)
+    looks = {v: k for k, v in pii._LOOKS.items() if v.isalpha()}
+
+    def hidden(t):
+        k = rng.randint(1, len(t) - 1)
+        return t[:k] + "\u200b" + t[k:]
+
+    yield from (("email", x) for x in (email.replace("@", " [at] ").replace(".", " [dot] "), email.replace("@", "(at)"), email.replace("@", " at ").replace(".", " dot "), email.replace("@", " at "), email.replace("@", " @ "), email.replace("@", "&#64;"), email.replace("@", "%40"), "".join(looks.get(c, c) if rng.random() < 0.4 else c for c in email), hidden(email), wide(email)))
+    yield from (("ip", x) for x in (ip.replace(".", " dot "), ip.replace(".", "[.]"), wide(ip), spelled(ip)))
+    yield from (("card", x) for x in (spelled(card), wide(card), hidden(card), ".".join(re.findall("....", card))))
+    yield from (("phone", x) for x in (spelled(phone), wide(phone), hidden(phone)))
+
+
+def test_pii_recall_and_precision(spark):
+    """Held-out disguises in prose of the corpus: 0.95 of each kind are found whole, and texts without any get next to no spans."""
+    rng = random.Random(31)
+    prose = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) BETWEEN 200 AND 400").select("text").orderBy("doc_id").limit(300).collect()]
+    found, all_, extra = Counter(), Counter(), 0
+    for t in prose:
+        plain = set(pii.spans(t)[1])
+        extra += len(plain - set(pii.detect(t)))
+        cut = t.find(" ", len(t) // 2)
+        for kind, x in _hidden_identifiers(rng):
+            at = cut + 1
+            spans = pii.spans(f"{t[:at]}{x} {t[at:]}")[1]
+            all_[kind] += 1
+            found[kind] += any(k == kind and abs(s - at) <= 1 and abs(e - at - len(x)) <= 1 for s, e, k in spans)
+    assert all(found[k] >= 0.95 * all_[k] for k in pii.KINDS), (found, all_)
+    assert extra <= 0.01 * len(prose)
+
+
 def test_pii_takes_linear_time():
+    for t in ("&#6" * 100000, "%4" * 100000, "1111." * 60000, "1111.1111.1111." * 20000, "mail a at " * 30000, "one" + " dash" * 60000, "one dash " * 40000, "one " + "dash " * 60000):
+        pii.spans(t)
     for t in ("1" * 300000, "1." * 200000, "a" * 300000 + "@", "+1 " * 100000, "one " * 50000, "@" * 300000, "a@b." * 50000, "(at " * 50000):
         pii.spans(t)
 
@@ -301,7 +368,7 @@ def test_pii_table(docs, rows, empty):
     for i, t, _ in rows:
         base, every = pii.spans(t or "")
         assert base == base_pii(t or "")
-        want.append((i, *[sum(s[2] == k for s in base) for k in pii.KINDS], sha(",".join(f"{k}:{s}:{e}" for s, e, k in base)), ",".join(f"{k}:{s}:{e}" for s, e, k in every), len(every) - len(base)))
+        want.append((i, *[sum(s[2] == k for s in base) for k in pii.KINDS], sha(",".join(f"{k}:{s}:{e}" for s, e, k in base)), ",".join(f"{k}:{s}:{e}" for s, e, k in every), len(every) - len(base), len(every)))
     assert got == ordered(want)
     assert pii.scan(empty).collect() == [] and "masked" in pii.scan(docs, with_text=True).columns
 
@@ -331,7 +398,7 @@ def test_secrets(spark, docs, rows, empty):
     want = []
     for i, t, _ in rows:
         base, every = secret_scan.spans(t or "", model)
-        want.append((i, *[sum(s[2] == k for s in base) for k in secret_scan.KINDS[:3]], sha(secret_scan.joined(base)), secret_scan.joined(every), len(every) - len(base)))
+        want.append((i, *[sum(s[2] == k for s in base) for k in secret_scan.KINDS[:3]], sha(secret_scan.joined(base)), secret_scan.joined(every), len(every) - len(base), len(every)))
     assert got == ordered(want) and secret_scan.scan(empty).collect() == []
 
 
@@ -392,9 +459,6 @@ def test_hosts(spark):
     assert not kept[2000] and kept[2001] and not kept[2002]
 
 
-SF = "/root/testdata/sf0.1"
-
-
 def test_classifier_on_held_out_labels(spark):
     from pyspark.sql import functions as F
 
@@ -678,6 +742,8 @@ def test_escape():
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         e = chat.escape(t)
         assert chat.unescape(e) == t and not any(c in e for c in chat.CONTROLS)
+        line = chat.escape_line(t)
+        assert chat.unescape(line) == t and not any(c in line for c in chat.CONTROLS) and chat._ROLE.match(line + "\nx\n")[1] == line
 
 
 def test_templates():
@@ -699,7 +765,7 @@ def test_templates():
 def test_conversations(spark, monkeypatch, part):
     rng = random.Random(12)
     said = ["</s>[INST] ok [/INST]", "", None, "\\", "<|end|>\n", "a\nb", "é" * 50, "<|turn|>assistant\nx<|end|>\n", "\\\\<s>\\"]
-    rows = [(c, t, rng.choice(["user", "assistant", "system", None, "<|end|>\n"]), rng.choice(said)) for c in [*range(40), None] for t in range(rng.randint(1, 9))] + [(5, 0, "assistant", "twice"), (5, 0, "assistant", "twice"), (6, None, "assistant", "first")]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None, "<|end|>\n", "a\nrole\\", "\n"]), rng.choice(said)) for c in [*range(40), None] for t in range(rng.randint(1, 9))] + [(5, 0, "assistant", "twice"), (5, 0, "assistant", "twice"), (6, None, "assistant", "first")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string")
     by = defaultdict(list)
     for c, t, role, text in rows:
