@@ -5,10 +5,12 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import PySparkException
+
 from .api import lint_path
 from .operators import report
 from .plans.lint import Config
-from .session import get_spark
+from .session import get_spark, stash
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -33,14 +35,13 @@ def main(argv: list[str] | None = None) -> int:
     outcomes: list[int | bool | None] = []
     for path in a.paths:
         try:
-            issues = lint_path(spark, path, config.ignore_patterns, enable=config.enabled_checkers, disable=config.disabled_checkers, errors_only=config.errors_only).cache()
+            issues = stash(lint_path(spark, path, config.ignore_patterns, enable=config.enabled_checkers, disable=config.disabled_checkers, errors_only=config.errors_only), "issues")
             lines = formats[a.output_format](issues) if a.output_format in formats else report.report(issues, a.output_format, a.colour)
             for r in lines.toLocalIterator():
                 print(r["text"])
             outcomes.append(not issues.isEmpty())
-            issues.unpersist()
-        except FileNotFoundError as e:
-            print(f"Error: {e}", file=sys.stderr)
+        except (FileNotFoundError, PySparkException) as e:  # among the latter a file that isn't UTF-8
+            print(f"Error: {str(e).splitlines()[0]}", file=sys.stderr)
             outcomes.append(None)
     return report.exit_status(outcomes)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.lint import lint
-from .sources.scan import from_path
+from .sources.scan import existing, from_path
 
 
 class LintError(RuntimeError):
@@ -15,12 +15,12 @@ class LintError(RuntimeError):
 
 
 def lint_path(spark: SparkSession, path: str, ignore: Iterable[str] = (), **options) -> DataFrame:
-    """A file, or a folder with everything below it that isn't ignored; FileNotFoundError for a path that isn't there."""
-    return lint(from_path(spark, path, ignore), **options)
+    """A file, or a folder with everything below it that isn't ignored; FileNotFoundError for a path that isn't there. Imported modules are looked for on disk."""
+    return lint(from_path(spark, path, ignore), lookup=existing, **options)
 
 
 def lint_file(spark: SparkSession, path: str, errors_only: bool = False, disable: str | Iterable[str] | None = None, enable: str | Iterable[str] | None = None) -> DataFrame:
-    return lint(from_path(spark, path), enable, disable, errors_only)
+    return lint(from_path(spark, path), enable, disable, errors_only, lookup=existing)
 
 
 def lint_directory(spark: SparkSession, folder: str, recursive: bool = True, errors_only: bool = False, disable: str | Iterable[str] | None = None, enable: str | Iterable[str] | None = None) -> DataFrame:
@@ -28,4 +28,4 @@ def lint_directory(spark: SparkSession, folder: str, recursive: bool = True, err
     system = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not system.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(system).isDirectory():
         raise LintError(f"not a directory: {folder}")
-    return lint(from_path(spark, folder, recursive=recursive, extensions=("py",), strict=False, skip=False), enable, disable, errors_only)
+    return lint(from_path(spark, folder, recursive=recursive, extensions=("py",), strict=False, skip=False), enable, disable, errors_only, lookup=existing)

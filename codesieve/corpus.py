@@ -57,6 +57,27 @@ CASES: list[tuple[str, list[tuple[str, str, int | None, int, int]]]] = [
     ("import os\n\n\ndef f{k}(a, *args, b=None):\n    total = 0\n    for n in args:\n        total = total + n\n    return os.path.join(str(a), str(b), str(total))\n\n\nf{k}(1)\n", []),
     ("if False:\n    return {k}\n    break\nelse:\n    continue\n", [("E0103", "'continue' not properly in loop", None, 5, 5)]),
     ("from m{j} import f{j} as h\nh(1)\n", [("E1120", "No value for argument 'b' in function call", None, 2, 1)]),
+    (
+        "if {k} % 2:\n    x = 1\nprint(x, y{k})\nclass A{k}:\n    if {k}:\n        z = 1\n    z\n",
+        [("E0606", "Possibly using variable 'x' before assignment", None, 3, 7), ("E0602", "Undefined variable 'y{k}'", None, 3, 10), ("E0606", "Possibly using variable 'z' before assignment", None, 7, 5)],
+    ),
+    (
+        "def f{k}(c, d):\n    if c:\n        x = 1\n    elif d:\n        y = 2\n    else:\n        return\n    print(x, y)\n    for i in c:\n        if i:\n            v = 1\n        else:\n            if d: continue\n            else: break\n        print(v, w)\n",
+        [("E0602", "Undefined variable 'w'", None, 15, 18)],
+    ),
+    (
+        "def f{k}(g):\n    try:\n        a = g()\n    except ValueError:\n        if g: return\n        else: raise\n    else:\n        b = {k}\n    finally:\n        c = 3\n    print(c)\n    print(a)\n    print(b)\n",
+        [("E0606", "Possibly using variable 'a' before assignment", None, 12, 11), ("E0601", "Using variable 'b' before assignment", None, 13, 11)],
+    ),
+    (
+        "with open('{k}') as h, open('y') as (c, d), open('z') as q.r: pass\ndef f{k}():\n    print(h, c, d)\n    global s\ndef g{k}(): print(s)\nclass A{k}:\n    v = 1\n    @x.staticmethod()\n    def m(): print(v)\n    @p.q.classmethod\n    def n(cls): pass\n    @x.other\n    def o(): pass\nprint(v)\n",
+        [("E0211", "Method 'o' has no argument", None, 13, 5)],
+    ),
+    (
+        "class A{k}:\n    def m(self):\n        def helper(self): pass\n    def n(self):\n        def helper(self): pass\ntry:\n    pass\nexcept ValueError:\n    def f{k}():\n        raise\nraise\n",
+        [("E0102", "method already defined line ", 3, 5, 9), ("E0704", "The raise statement is not inside an except clause", None, 11, 1)],
+    ),
+    ("é = 'ü'; print(é, ñ{k})\ndef ß(ö): print('ä', ö, ï)\n", [("E0602", "Undefined variable 'ñ{k}'", None, 1, 19), ("E0602", "Undefined variable 'ï'", None, 2, 25)]),
 ]
 #: The case whose issue is there only if order k - 3 is, since it imports that module.
 IMPORTING = 16
@@ -76,16 +97,16 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def expected_sql() -> str:
-    """SQL of the issues (code, message, file, line, column, severity, symbol) that the corpus has, over the table orders."""
+def expected_sql(more: str = "") -> str:
+    """SQL of the issues (code, message, file, line, column, severity, symbol, more) that the corpus has, over the table orders; c.place numbers those of a module as they are met."""
     from .functions.catalog import RULES
 
     rows = []
     for n, (_, issues) in enumerate(CASES):
-        rows += [f"({n}, '{c}', {_quoted(m)}, {'NULL' if at is None else at}, {line}, {column}, '{RULES[c][0]}')" for c, m, at, line, column in issues]
+        rows += [f"({n}, {place}, '{c}', {_quoted(m)}, {'NULL' if at is None else at}, {line}, {column}, '{RULES[c][0]}')" for place, (c, m, at, line, column) in enumerate(issues)]
     return (
         "SELECT c.code AS code, replace(c.message, '{k}', CAST(o.o_orderkey AS VARCHAR)) || coalesce(CAST(c.tail + o.o_orderkey % 7 AS VARCHAR), '') AS message, "
-        "'m' || CAST(o.o_orderkey AS VARCHAR) || '.py' AS file, CAST(c.line + o.o_orderkey % 7 AS INTEGER) AS line, CAST(c.col AS INTEGER) AS \"column\", 'error' AS severity, c.symbol AS symbol "
-        f"FROM orders o JOIN (VALUES {', '.join(rows)}) c(n, code, message, tail, line, col, symbol) ON c.n = o.o_orderkey % {len(CASES)} "
+        "'m' || CAST(o.o_orderkey AS VARCHAR) || '.py' AS file, CAST(c.line + o.o_orderkey % 7 AS INTEGER) AS line, CAST(c.col AS INTEGER) AS \"column\", 'error' AS severity, c.symbol AS symbol" + more + " "
+        f"FROM orders o JOIN (VALUES {', '.join(rows)}) c(n, place, code, message, tail, line, col, symbol) ON c.n = o.o_orderkey % {len(CASES)} "
         f"WHERE c.n <> {IMPORTING} OR EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey = o.o_orderkey - 3)"
     )

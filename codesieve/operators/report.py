@@ -5,10 +5,11 @@ Lines come as a table (file, line) in order, so a report of any size is written
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import severity_rank
+from ..session import stash
 
 FIELDS = ("code", "message", "file", "line", "column", "severity", "symbol")
 _COLOURS = {"error": "31", "warning": "33", "convention": "34", "refactor": "35", "info": "36"}
@@ -33,6 +34,7 @@ _LINE = ("%s:%d:%d: %s: %s (%s)", "file", "line", "column")
 
 def text_report(issues: DataFrame, colour: bool = False) -> DataFrame:
     """(text) in order: for each file a headline and its issues by line and column, as they were met where those are equal; then the counts. No issues: no line."""
+    issues = stash(issues, "issues")  # four parts read it
     place = lambda part, file, line, column, seq: (F.lit(part).alias("part"), file.alias("file"), line.alias("line"), column.alias("column"), seq.cast("long").alias("seq"))
     c, at = F.col, F.lit(-1)
     headline = issues.select("file").distinct().select(*place(0, c("file"), at, at, at), F.concat(F.lit("\n************* Module "), "file").alias("text"))
@@ -42,6 +44,11 @@ def text_report(issues: DataFrame, colour: bool = False) -> DataFrame:
     return headline.unionByName(body).unionByName(title).unionByName(counts).orderBy("part", "file", "line", "column", "seq").select("text")
 
 
+def in_order(issues: DataFrame) -> DataFrame:
+    """issues with place, from 1 within each file: by line and column, as they were met where those are equal."""
+    return issues.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("line", "column", "seq")))
+
+
 def parseable_report(issues: DataFrame) -> DataFrame:
     """(text) as issues were met: file:line:column: [code] message"""
     return issues.orderBy("file", "seq").select(F.format_string("%s:%d:%d: [%s] %s", "file", "line", "column", "code", "message").alias("text"))
@@ -81,6 +88,7 @@ def _edge(rows: DataFrame, part: int, text: Column | str) -> DataFrame:
 
 def json_report(issues: DataFrame) -> DataFrame:
     """(text): the parts of one JSON array, an issue each. No issues: no line."""
+    issues = stash(issues, "issues")
     some = issues.limit(1)
     rows = _array(issues, 2, _json_name(F.col("severity"))).unionByName(_edge(some, 0, "[")).unionByName(_edge(some, 2, "]"))
     return rows.orderBy("part", "file", "seq").select("text")
@@ -88,6 +96,7 @@ def json_report(issues: DataFrame) -> DataFrame:
 
 def json_summary_report(issues: DataFrame) -> DataFrame:
     """(text): the parts of one JSON object with the issues and their summary."""
+    issues = stash(issues, "issues")
     counts = summary(issues)
     end = F.format_string('  ],\n  "summary": {\n    "total": %d,\n    "errors": %d,\n    "warnings": %d\n  }\n}', "total", "errors", "warnings")
     rows = _array(issues, 4, F.col("severity")).unionByName(_edge(counts, 0, '{\n  "issues": [')).unionByName(_edge(counts, 2, end))
@@ -106,6 +115,7 @@ def quiet_report(issues: DataFrame) -> DataFrame:
 
 def standard_report(issues: DataFrame) -> DataFrame:
     """(text): a line for each issue and their number, or 'No issues found!'."""
+    issues = stash(issues, "issues")
     lines = issues.select(F.lit(0).alias("part"), "file", "seq", F.format_string(*_LINE, "code", "message", "symbol").alias("text"))
     end = F.when(F.col("total") == 0, F.lit("No issues found!")).otherwise(F.format_string("\nSummary: %d issue(s) found", "total"))
     return lines.unionByName(_edge(summary(issues), 1, end)).orderBy("part", "file", "seq").select("text")
@@ -133,7 +143,17 @@ def parse_text_report(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def exit_status(outcomes: list[int | bool | None]) -> int:
-    """Of several paths the last one's: an issue count or whether there were issues, None for a path that failed. No path: 1."""
+    """Of the paths in order: an issue count or whether there were issues, None for a path that failed. The last path with issues (1) or that failed (2)
+    decides; one without issues changes nothing. No path: 1."""
     if not outcomes:
         return 1
-    return 2 if outcomes[-1] is None else int(bool(outcomes[-1]))
+    status = 0
+    for x in outcomes:
+        status = 2 if x is None else 1 if x else status
+    return status
+
+
+def exit_statuses(outcomes: DataFrame, run: str = "run", place: str = "place", issues: str = "issues") -> DataFrame:
+    """(run, status) of many runs at once: rows are paths in order of place, with their number of issues, null for a path that failed."""
+    event = F.when(F.col(issues).isNull(), 2).when(F.col(issues) > 0, 1)
+    return outcomes.groupBy(run).agg(F.coalesce(F.max_by(event, F.when(event.isNotNull(), F.col(place))), F.lit(0)).alias("status"))

@@ -80,18 +80,24 @@ def _local() -> dict[str, tuple[tuple[str, ...], Column]]:
 def kinds_of(codes: tuple[str, ...]) -> set[str]:
     """The kinds of events that these rules read: the parser is asked for no others."""
     wanted = {"syntax"}
-    local = {"E0102": ("def", "class", "module_def"), "E1120": ("def", "module_def", "call", "import")} | {c: k for c, (k, _) in _local().items()} if codes else {}
+    local = {"E0102": ("def", "class", "module_def"), "E1120": ("module", "def", "module_def", "call", "import")} | {c: k for c, (k, _) in _local().items()} if codes else {}
     for code in codes:
         wanted.update(local.get(code, ()))
     return wanted
 
 
 def local_issues(events: DataFrame, codes: tuple[str, ...]) -> DataFrame:
-    """All one-event rules in one projection."""
-    rules = {c: r for c, r in _local().items() if c in codes}
-    kinds = sorted({k for ks, _ in rules.values() for k in ks})
-    found = F.concat(*[F.coalesce(issues, F.array().cast(_ISSUE)) for _, issues in rules.values()])
-    flat = events.where(_kind(*kinds)).select("file", "seq", F.posexplode(found).alias("k", "i"))
+    """All one-event rules in one projection, which asks an event only for the rules of its kind."""
+    by_kind: dict[str, list[tuple[int, Column]]] = {}
+    for place, (code, (kinds, issues)) in enumerate(_local().items()):
+        for kind in kinds if code in codes else ():
+            by_kind.setdefault(kind, []).append((place, issues))
+    none, found = F.array().cast(_ISSUE), None
+    for kind, rules in by_kind.items():
+        here = [F.coalesce(issues, none) for _, issues in rules]
+        issues = here[0] if len(here) == 1 else F.concat(*here)
+        found = F.when(C("kind") == kind, issues) if found is None else found.when(C("kind") == kind, issues)
+    flat = events.where(_kind(*sorted(by_kind))).select("file", "seq", F.posexplode(found).alias("k", "i"))
     return flat.select("file", (C("seq").cast("long") * STEP + C("k") + 1).alias("seq"), "i.code", "i.message", "i.line", "i.column")
 
 
@@ -117,28 +123,40 @@ def _signature(params: Column) -> Column:
     return F.transform(F.filter(params, lambda p: p["kind"].isin("positional_only", "positional") & ~p["has_default"]), lambda p: p["name"])
 
 
-def signatures(events: DataFrame, files: DataFrame, cwd: str = "") -> DataFrame:
-    """(file, seq, name, required) of functions from where they are known on: top-level definitions, and functions that an import finds.
-
-    An import looks for the module beside its file, one folder up and in cwd; the first path that is in files counts, with the first top-level def of
-    the name in it.
-    """
-    own = events.where(_kind("def") & ~C("in_class") & ~C("in_function")).select("file", "seq", "name", _signature(C("params")).alias("required"))
+def _paths(events: DataFrame, cwd: str) -> DataFrame:
+    """(file, seq, name, wanted, rank, path) of each place where an imported module may be: beside its file, one folder up, in cwd."""
     folder = parent(C("file"))
     module = module_path(C("value"))
     places = [inside(folder, module), inside(parent(folder), module), inside(F.lit(cwd.rstrip("/")), module)]
     options = F.filter(F.array(*[F.struct(F.lit(k).alias("rank"), p.alias("path")) for k, p in enumerate(places)]), lambda o: o["path"].isNotNull())
-    asked = events.where(_kind("import")).select("file", "seq", "name", F.get("names", F.lit(0)).alias("wanted"), F.explode(options).alias("o")).select("file", "seq", "name", "wanted", "o.rank", "o.path")
-    there = asked.join(files.select(C("file").alias("path")).distinct(), "path")
+    return events.where(_kind("import")).select("file", "seq", "name", F.get("names", F.lit(0)).alias("wanted"), F.explode(options).alias("o")).select("file", "seq", "name", "wanted", "o.rank", "o.path")
+
+
+def unread_modules(events: DataFrame, cwd: str = "") -> DataFrame:
+    """(path) where an import would look for a module that isn't among the files of events."""
+    return _paths(events, cwd).select("path").distinct().join(events.where(_kind("module")).select(C("file").alias("path")), "path", "left_anti")
+
+
+def signatures(events: DataFrame, cwd: str = "", others: DataFrame | None = None) -> DataFrame:
+    """(file, seq, name, required) of functions from where they are known on: top-level definitions, and functions that an import finds.
+
+    An import takes the first of its paths that is a file of events, or of others, which are events of modules that aren't linted; in it the first
+    top-level def of the name counts.
+    """
+    own = events.where(_kind("def") & ~C("in_class") & ~C("in_function")).select("file", "seq", "name", _signature(C("params")).alias("required"))
+    every = events.where(_kind("module", "module_def")).select("file", "seq", "kind", "name", "value", "params")
+    if others is not None:
+        every = every.unionByName(others.where(_kind("module", "module_def")).select(*every.columns))
+    there = _paths(events, cwd).join(every.where(_kind("module")).select(C("file").alias("path")).distinct(), "path")
     chosen = there.groupBy("file", "seq", "name", "wanted").agg(F.min_by("path", "rank").alias("path"))
-    exported = events.where(_kind("module_def") & (C("value") == "def")).groupBy(C("file").alias("path"), C("name").alias("wanted")).agg(F.min_by(_signature(C("params")), "seq").alias("required"))
+    exported = every.where(_kind("module_def") & (C("value") == "def")).groupBy(C("file").alias("path"), C("name").alias("wanted")).agg(F.min_by(_signature(C("params")), "seq").alias("required"))
     return own.unionByName(chosen.join(exported, ["path", "wanted"]).select("file", "seq", "name", "required"))
 
 
-def missing_arguments(events: DataFrame, files: DataFrame, cwd: str = "") -> DataFrame:
+def missing_arguments(events: DataFrame, cwd: str = "", others: DataFrame | None = None) -> DataFrame:
     """E1120: each call takes the latest signature before it, and its first required name that neither a position nor a keyword gives."""
     none = F.lit(None)
-    known = signatures(events, files, cwd).select("file", "name", "seq", "required", none.cast("int").alias("n"), none.cast("array<string>").alias("names"), none.cast("int").alias("line"), none.cast("int").alias("column"), F.lit(True).alias("unreachable"))
+    known = signatures(events, cwd, others).select("file", "name", "seq", "required", none.cast("int").alias("n"), none.cast("array<string>").alias("names"), none.cast("int").alias("line"), none.cast("int").alias("column"), F.lit(True).alias("unreachable"))
     calls = events.where(_kind("call")).select("file", "name", "seq", none.cast("array<string>").alias("required"), "n", "names", "line", "column", "unreachable")
     so_far = Window.partitionBy("file", "name").orderBy("seq", F.col("n").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     met = known.unionByName(calls).withColumn("required", F.last("required", ignorenulls=True).over(so_far)).where(C("n").isNotNull() & ~C("unreachable") & (F.size("required") > C("n")))
@@ -146,7 +164,7 @@ def missing_arguments(events: DataFrame, files: DataFrame, cwd: str = "") -> Dat
     return met.withColumn("lacking", lacking).where("lacking IS NOT NULL").select("file", (C("seq").cast("long") * STEP).alias("seq"), F.lit("E1120").alias("code"), message("E1120", C("lacking")).alias("message"), "line", "column")
 
 
-def issues(events: DataFrame, files: DataFrame, codes: tuple[str, ...] = LIVE, cwd: str = "") -> DataFrame:
+def issues(events: DataFrame, codes: tuple[str, ...] = LIVE, cwd: str = "", others: DataFrame | None = None) -> DataFrame:
     """Issues of the given rules; seq orders those of a file as they are met."""
     parts = []
     if set(codes) & _local().keys():
@@ -154,7 +172,7 @@ def issues(events: DataFrame, files: DataFrame, codes: tuple[str, ...] = LIVE, c
     if "E0102" in codes:
         parts.append(redefinitions(events))
     if "E1120" in codes:
-        parts.append(missing_arguments(events, files, cwd))
+        parts.append(missing_arguments(events, cwd, others))
     if not parts:
         parts.append(local_issues(events, ("E0001",)).where("false"))
     result = parts[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tomllib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -67,11 +67,14 @@ def chosen(enable: Iterable[str] = (), disable: Iterable[str] = (), errors_only:
     return tuple(c for c in codes if c[0] == "E") if errors_only else tuple(codes)
 
 
-def lint(sources: DataFrame, enable: str | Iterable[str] | None = None, disable: str | Iterable[str] | None = None, errors_only: bool = False, cwd: str = "", materialize: bool | None = None) -> DataFrame:
+def lint(
+    sources: DataFrame, enable: str | Iterable[str] | None = None, disable: str | Iterable[str] | None = None, errors_only: bool = False, cwd: str = "", materialize: bool | None = None, lookup: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Issues (code, message, file, line, column, severity, symbol, seq) of sources (file, source); seq orders those of one file.
 
     A module that can't be parsed has its one E0001 whatever rules run, unless those leave that code out. With rules that read
-    the event table more than once it is written to the shared folder first, so that nothing is parsed twice (materialize).
+    the event table more than once it is written to the shared folder first, so that nothing is parsed twice (materialize). lookup gets the paths
+    (path) of imported modules that sources hasn't, and returns (file, source) of those that exist: their signatures are known, their issues aren't reported.
     """
     codes = chosen(codes_in(enable), codes_in(disable), errors_only)
     wanted = rules.kinds_of(codes)
@@ -79,7 +82,10 @@ def lint(sources: DataFrame, enable: str | Iterable[str] | None = None, disable:
     scans = bool(set(codes) - {"E0102", "E1120"}) + ("E0102" in codes) + 3 * ("E1120" in codes)
     if materialize if materialize is not None else scans > 1:
         table = stash(table, "events")
-    found = rules.issues(table, sources, codes, cwd)
+    others = None
+    if lookup and "E1120" in codes:
+        others = stash(parse(lookup(rules.unread_modules(table, cwd)), ("module", "module_def")), "imported")
+    found = rules.issues(table, codes, cwd, others)
     return found.select("code", "message", "file", "line", "column", severity(F.col("code")).alias("severity"), symbol(F.col("code")).alias("symbol"), "seq")
 
 

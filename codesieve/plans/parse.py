@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.udtf import UserDefinedTableFunction
 
 from ..session import ship
-from .walker import DDL, FIELDS, KINDS, Walker
+from .walker import DDL, KINDS, Walker
 
 #: Rows that a Python worker turns into one batch of events.
 ROWS = 20_000
@@ -25,16 +25,10 @@ def _schema() -> pa.Schema:
 
 def _walk(wanted: frozenset[str], schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     files: list[str] = []
-    events: list[dict] = []
+    events: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
-        columns = [pa.array(files, pa.string())]
-        for f in list(schema)[1:]:
-            values = [e.get(f.name) for e in events]
-            if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type):
-                inner = [x.name for x in f.type.value_type]
-                values = [v and [dict(zip(inner, x)) for x in v] for v in values]
-            columns.append(pa.array(values, f.type))
+        columns = [pa.array(c, f.type) for c, f in zip([files, *zip(*events)], schema)]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for b in batches:
@@ -52,7 +46,7 @@ def _walk(wanted: frozenset[str], schema: pa.Schema, batches: Iterator[pa.Record
 def events(sources: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
     """The event table of sources (file, source): one row for each event of the wanted kinds, in the order of seq within a file.
 
-    A text that can't be parsed gives one event, 'syntax'; a null or empty text gives none.
+    The first event of each file is 'module'. A text that can't be parsed gives one more, 'syntax'; a null or empty text none.
     """
     ship(sources.sparkSession)
     wanted, schema = frozenset(kinds), _schema()
@@ -63,8 +57,7 @@ class ParseEvents:
     """For SQL: SELECT t.file, e.* FROM t, LATERAL parse_events(t.source) e"""
 
     def eval(self, source: str) -> Iterator[tuple]:
-        for e in Walker(source or "").run():
-            yield tuple(e.get(f) for f in FIELDS)
+        yield from Walker(source or "").run()
 
 
 def register(spark: SparkSession, name: str = "parse_events") -> UserDefinedTableFunction:

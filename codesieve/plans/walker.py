@@ -13,8 +13,11 @@ import re
 import sys
 import warnings
 from array import array
+from collections.abc import Callable
 from typing import Any
 
+from ..functions.catalog import BUILTINS
+
 FIELDS = (
     "seq kind line column name value n in_function in_class current_class in_loop in_except in_async unreachable names places params decorators yields returns_value"
 ).split()
@@ -24,9 +27,10 @@ DDL = (
     "params array<struct<name: string, kind: string, has_default: boolean>>, decorators array<string>, yields boolean, returns_value boolean"
 )
 #: Kinds of events; a plan names those it wants.
-KINDS = ("syntax", "def", "module_def", "class", "return", "jump", "yield", "await", "raise", "raise_name", "stars", "star_target", "dict", "nested", "global", "nonlocal", "call", "log", "import", "unresolved")
+KINDS = ("module", "syntax", "def", "module_def", "class", "return", "jump", "yield", "await", "raise", "raise_name", "stars", "star_target", "dict", "nested", "global", "nonlocal", "call", "log", "import", "unresolved")
 _LOGGERS = ("LOG", "logger", "logging")
 _LOG_METHODS = frozenset("debug info warning warn w error e critical d i".split())
+_BUILTINS = frozenset(BUILTINS)
 _BREAKS = re.compile(r"\r\n|\r|\n")
 
 
@@ -89,6 +93,10 @@ def key_text(value: Any) -> str | None:
 
 
 class Walker:
+    #: Methods by node type, filled below.
+    statements: dict[type, Callable] = {}
+    expressions: dict[type, Callable] = {}
+
     def __init__(self, source: str, wanted: frozenset[str] = frozenset(KINDS)) -> None:
         self.source, self.wanted, self.events, self.seq = source, wanted, [], 0
         self.lines: list[str] | None = None
@@ -103,10 +111,8 @@ class Walker:
         self.declared: set[str] = set()  # global and nonlocal names, for the rest of the file
         self.imports: set[str] = set()
         self.usages: dict[str, list[tuple[int, int]]] = {}
-        self.track = "global" in wanted
+        self.track, self.calls = "global" in wanted, "call" in wanted
         self.resolve = "unresolved" in wanted
-        self.statements = {getattr(ast, k[5:]): getattr(self, k) for k in dir(self) if k.startswith("stmt_")}
-        self.expressions = {getattr(ast, k[5:]): getattr(self, k) for k in dir(self) if k.startswith("expr_")}
 
     # -- output --------------------------------------------------------------------------------------------------------------
 
@@ -129,16 +135,18 @@ class Walker:
             return k + 1, at - (self.ends[k - 1] if k else -1)
         return line, offset + 1
 
-    def emit(self, kind: str, node: Any = None, at: tuple[int, int] | None = None, **more: Any) -> None:
+    def emit(self, kind: str, node: Any = None, at: tuple[int, int] | None = None, name=None, value=None, n=None, names=None, places=None, params=None, decorators=None, yields=None, returns_value=None) -> None:
+        """A tuple in the order of FIELDS."""
         self.seq += 1
         if kind not in self.wanted:
             return
         line, column = at or self.place(node)
-        self.events.append({"seq": self.seq, "kind": kind, "line": line, "column": column, "in_function": self.in_function, "in_class": self.in_class, "current_class": self.current_class, "in_loop": self.loops > 0, "in_except": self.in_except, "in_async": self.in_async, "unreachable": self.unreachable} | more)
+        self.events.append((self.seq, kind, line, column, name, value, n, self.in_function, self.in_class, self.current_class, self.loops > 0, self.in_except, self.in_async, self.unreachable, names, places, params, decorators, yields, returns_value))
 
-    def run(self) -> list[dict]:
+    def run(self) -> list[tuple]:
+        self.emit("module", at=(1, 1))
         if not self.source:
-            return []
+            return self.events
         limit = sys.getrecursionlimit()
         try:
             sys.setrecursionlimit(max(limit, 20_000))
@@ -151,7 +159,7 @@ class Walker:
                     self.emit("module_def", s, name=s.name, value="def" if isinstance(s, ast.FunctionDef) else "async" if isinstance(s, ast.AsyncFunctionDef) else "class", params=params(s.args) if isinstance(s, ast.FunctionDef) and "module_def" in self.wanted else None)
             self.block(tree.body)
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-            self.events.clear()
+            self.events[:] = self.events[:1] if "module" in self.wanted else []
             self.unreachable = False
             text = e.msg if isinstance(e, SyntaxError) and e.msg else "too deeply nested" if isinstance(e, (RecursionError, MemoryError)) else str(e)
             self.emit("syntax", at=(getattr(e, "lineno", None) or 1, getattr(e, "offset", None) or 1), name=text)
@@ -162,10 +170,11 @@ class Walker:
     # -- statements ----------------------------------------------------------------------------------------------------------
 
     def block(self, body: list[ast.stmt]) -> None:
+        get = self.statements.get
         for s in body:
-            visit = self.statements.get(type(s))
+            visit = get(type(s))
             if visit:
-                visit(s)
+                visit(self, s)
 
     def stmt_AsyncFunctionDef(self, f: ast.AsyncFunctionDef) -> None:
         self.function(f, True)
@@ -374,7 +383,7 @@ class Walker:
     def expr(self, e: ast.expr | None) -> None:
         visit = self.expressions.get(type(e))
         if visit:
-            visit(e)
+            visit(self, e)
 
     def expr_Name(self, e: ast.Name) -> None:
         name = e.id
@@ -386,6 +395,8 @@ class Walker:
             known = ("local_conditional" if name in self.maybe else "local") if name in self.locals else "module_conditional" if name in self.module_maybe else "unknown"
         else:
             known = "conditional" if name in self.maybe else "unknown"
+        if known == "unknown" and name in _BUILTINS:  # most names that aren't found; no rule asks for them
+            return
         self.emit("unresolved", e, name=name, value=known)
 
     def expr_Yield(self, e: Any) -> None:
@@ -400,7 +411,7 @@ class Walker:
             if isinstance(first, ast.Constant) and isinstance(first.value, str):
                 self.emit("log", e, value=first.value, n=len(e.args))
         elif isinstance(f, ast.Name):
-            self.emit("call", e, name=f.id, n=len(e.args), names=[k.arg for k in e.keywords if k.arg])
+            self.emit("call", e, name=f.id, n=len(e.args), names=[k.arg for k in e.keywords if k.arg] if self.calls else None)
         self.expr(f)
         for a in e.args:
             self.expr(a)
@@ -441,6 +452,10 @@ class Walker:
         self.expr(e.value)
 
 
+Walker.statements.update({getattr(ast, k[5:]): f for k, f in vars(Walker).items() if k.startswith("stmt_")})
+Walker.expressions.update({getattr(ast, k[5:]): f for k, f in vars(Walker).items() if k.startswith("expr_")})
+
+
 def params(a: ast.arguments) -> list[tuple[str, str, bool]]:
     """(name, kind, has a default) in the order positional-only, positional, keyword-only, *, **."""
     plain = [*a.posonlyargs, *a.args]

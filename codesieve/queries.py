@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .corpus import expected_sql, modules
+from .corpus import CASES, expected_sql, modules
 from .functions.catalog import BUILTINS, LIVE, RULES, rules_table, severity
 from .functions.text import column_of, count_placeholders, line_of, module_path
 from .operators import diff, report
 from .plans.lint import COLUMNS, keep, lint
+from .plans.parse import register
+from .session import stash
 from .sources.scan import SKIPPED, is_ignored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 _ALL = expected_sql()
+#: With the place of each issue among those of its module, as they are met.
+_MET = expected_sql(", c.place AS place")
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +110,106 @@ def report_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.standard_report(_issues(spark, sf_dir))
 
 
-@query()
+_JSON = (
+    f"WITH i AS ({_MET}), l AS (SELECT file, max(place) AS place FROM i WHERE file = (SELECT max(file) FROM i) GROUP BY file), "
+    "o AS (SELECT i.*, CASE WHEN l.place IS NULL THEN ',' ELSE '' END AS comma FROM i LEFT JOIN l ON l.file = i.file AND l.place = i.place) "
+)
+
+
+def _json_sql(indent: int, severity_sql: str) -> str:
+    """One issue as the JSON reports have it."""
+    gap = " " * indent
+    quoted = lambda c: f"'\"' || replace({c}, '\"', chr(92) || '\"') || '\"'"
+    fields = [f"'{gap}  \"{f}\": ' || " + (f'CAST("{f}" AS VARCHAR)' if f in ("line", "column") else quoted(severity_sql if f == "severity" else f)) for f in report.FIELDS]
+    return f"'{gap}{{' || chr(10) || " + " || ',' || chr(10) || ".join(fields) + f" || chr(10) || '{gap}}}' || comma"
+
+
+@query(f"{_JSON} SELECT {_json_sql(2, repr('Error'))} AS text FROM o UNION ALL SELECT '[' UNION ALL SELECT ']'")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.json_report(_issues(spark, sf_dir))
 
 
+@query(
+    f"{_JSON} SELECT {_json_sql(4, 'severity')} AS text FROM o UNION ALL SELECT '{{' || chr(10) || '  \"issues\": [' UNION ALL SELECT '  ],' || chr(10) || '  \"summary\": {{' || chr(10) || '    \"total\": ' || CAST(count(*) AS VARCHAR) "
+    "|| ',' || chr(10) || '    \"errors\": ' || CAST(count(*) AS VARCHAR) || ',' || chr(10) || '    \"warnings\": 0' || chr(10) || '  }' || chr(10) || '}' FROM o"
+)
+def report_json_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.json_summary_report(_issues(spark, sf_dir))
+
+
+@query(f"SELECT CAST(count(*) AS VARCHAR) || ' issue(s) found' AS text FROM ({_ALL})")
+def report_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.quiet_report(_issues(spark, sf_dir))
+
+
+@query(f'SELECT file, code, line, "column", CAST(row_number() OVER (PARTITION BY file ORDER BY line, "column", place) AS INTEGER) AS place FROM ({_MET})')
+def issues_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stable order within each file, as a number."""
+    return report.in_order(_issues(spark, sf_dir)).select("file", "code", "line", "column", "place")
+
+
+@query(f"SELECT text FROM (SELECT {_LINE} || '[' || code || '] ' || message AS text, file, place FROM ({_MET})) ORDER BY file, place LIMIT 30")
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report that are shown: here the limit is the feature."""
+    return diff.limited_output(report.parseable_report(_issues(spark, sf_dir)))
+
+
+_OUTCOMES = "SELECT o_custkey AS run, o_orderkey AS place, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 ELSE 0 END AS issues FROM orders"
+
+
+@query(f"SELECT run, CAST(coalesce(max_by(CASE WHEN issues IS NULL THEN 2 ELSE 1 END, place) FILTER (WHERE issues IS NULL OR issues > 0), 0) AS INTEGER) AS status FROM ({_OUTCOMES}) GROUP BY run")
+def exit_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as runs over their orders: the last with issues or a failure decides."""
+    k = F.col("o_orderkey")
+    issues = F.when(k % 5 == 0, None).when(k % 3 == 0, k % 7).otherwise(0)
+    return report.exit_statuses(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), k.alias("place"), issues.alias("issues")))
+
+
+_TIMES = "SELECT l_linenumber + 1 AS expected_time, CASE WHEN l_linenumber = 7 THEN 0 ELSE 8 END AS found_time FROM lineitem"
+
+
+@query(f"SELECT CAST(round(avg(s), 4) AS DOUBLE) AS mean_speedup, CAST(round(min(s), 4) AS DOUBLE) AS min_speedup, CAST(round(max(s), 4) AS DOUBLE) AS max_speedup, CAST(count(*) AS BIGINT) AS n FROM (SELECT expected_time * 1.0 / found_time AS s FROM ({_TIMES}) WHERE expected_time > 0 AND found_time > 0)")
+def speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(8.0)
+    return diff.speedups(table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") + 1).cast("double").alias("expected_time"), found.alias("found_time")))
+
+
+_STATUS = "SELECT 'E' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || ' ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ✅ Implemented' ELSE ' ⚠️' END AS value FROM part"
+
+
+@query(f"SELECT regexp_extract(value, '^(E[0-9]+)', 1) AS code FROM ({_STATUS}) WHERE strpos(value, '✅ Implemented') > 0")
+def implemented_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("p_partkey") % 3 == 0, " ✅ Implemented").otherwise(" ⚠️")
+    lines = table(spark, sf_dir, "part").select(F.concat(F.lit("E"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(" "), "p_name", mark).alias("value"))
+    return diff.listed_codes(lines)
+
+
+@query(
+    f"SELECT file, chr(39) || name || chr(39) AS name FROM (SELECT 'm' || CAST(o_orderkey AS VARCHAR) || '.py' AS file, o_orderkey % {len(CASES)} AS n FROM orders) "
+    "JOIN (VALUES (3, 'break'), (3, 'break'), (3, 'break'), (3, 'continue'), (15, 'break'), (15, 'continue'), (18, 'continue'), (18, 'break')) j(n, name) USING (n)"
+)
+def jumps_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser as a table function of SQL."""
+    register(spark)
+    _corpus(spark, sf_dir).createOrReplaceTempView("codesieve_modules")
+    return spark.sql("SELECT m.file, e.name FROM codesieve_modules m, LATERAL parse_events(m.source) e WHERE e.kind = 'jump'")
+
+
+_BY_FILE = f'WITH i AS ({_ALL}), e AS (SELECT file AS fixture, * FROM i), f AS (SELECT file AS fixture, code, message, CASE WHEN code = \'E0104\' THEN line + 1 ELSE line END AS line, "column" FROM i WHERE code <> \'E0102\') '
+_NOT_IN = "WHERE NOT EXISTS (SELECT 1 FROM {} b WHERE b.fixture = a.fixture AND b.code = a.code AND b.line = a.line)"
+
+
+@query(
+    f'{_BY_FILE} SELECT *, CAST(row_number() OVER (PARTITION BY fixture, side ORDER BY line, "column", code, message) AS INTEGER) AS place FROM ('
+    f"SELECT fixture, 'missed' AS side, code, line, \"column\", message FROM e a {_NOT_IN.format('f')} UNION ALL SELECT fixture, 'extra', code, line, \"column\", message FROM f a {_NOT_IN.format('e')})"
+)
+def diff_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What only one side has, by file, in the order of lines and columns."""
+    issues = stash(_issues(spark, sf_dir).select(F.col("file").alias("fixture"), "code", "line", "column", "message"), "sides")
+    found = issues.where("code <> 'E0102'").withColumn("line", F.when(F.col("code") == "E0104", F.col("line") + 1).otherwise(F.col("line")))
+    return diff.unmatched(issues, found, ("fixture",))
+
+
 @query(f"SELECT code, message, file, line, \"column\", severity, symbol FROM ({_ALL})")
 def parse_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.parse_text_report(report.text_report(_issues(spark, sf_dir)), "text")
@@ -129,7 +228,7 @@ _SIDES = f"WITH i AS ({_ALL}), f AS (SELECT code AS fixture, code, CASE WHEN cod
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Expected: all issues; found: without E0102, and E0104 a line too low."""
-    issues = _issues(spark, sf_dir).select(F.col("code").alias("fixture"), "code", "line")
+    issues = stash(_issues(spark, sf_dir).select(F.col("code").alias("fixture"), "code", "line"), "sides")
     return issues, issues.where("code <> 'E0102'").withColumn("line", F.when(F.col("code") == "E0104", F.col("line") + 1).otherwise(F.col("line")))
 
 

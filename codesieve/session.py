@@ -30,9 +30,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; one of our own only where the session has none."""
+    """spark.checkpoint.dir, which all executors share. Where the session has none one is made, in local mode (tests, the command line) only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="codesieve-")
         atexit.register(shutil.rmtree, named, True)
         spark.conf.set("spark.checkpoint.dir", named)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_component, is_python
+from ..session import ship
 
 SKIPPED = ["__pycache__", ".git", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache"]
 
@@ -63,3 +67,26 @@ def from_path(spark: SparkSession, path: str, ignore: Iterable[str] = (), recurs
     files = files.where("length > 0")
     text = F.validate_utf8(F.col("content").cast("string")) if strict else F.try_validate_utf8(F.col("content").cast("string"))
     return files.select(F.col("path").alias("file"), text.alias("source")).where("source IS NOT NULL")
+
+
+def _open_modules(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        files, texts = [], []
+        for path in b.column("path").to_pylist():
+            system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path if path.startswith("/") else f"{folder}/{path}")
+            if system.get_file_info(at).type == fs.FileType.File:
+                with system.open_input_stream(at) as f:
+                    data = f.read()
+                files.append(path)
+                try:
+                    texts.append(data.decode())
+                except UnicodeDecodeError:
+                    texts.append(None)
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(texts, pa.string())], names=["file", "source"])
+
+
+def existing(paths: DataFrame) -> DataFrame:
+    """(file, source) of the paths (path) that are files, read by executors; a text that isn't UTF-8 is null. Relative paths start at the driver's folder."""
+    ship(paths.sparkSession)
+    folder = os.getcwd()
+    return paths.select("path").mapInArrow(lambda b: _open_modules(folder, b), "file string, source string")

@@ -111,7 +111,7 @@ def test_accuracy(spark):
 
 
 def test_exit_status():
-    assert [report.exit_status(x) for x in ([], [0], [3], [None], [3, 0], [0, None], [None, 2])] == [1, 0, 1, 2, 0, 2, 1]
+    assert [report.exit_status(x) for x in ([], [0], [3], [None], [3, 0], [0, None], [None, 2], [None, 0], [0, 0])] == [1, 0, 1, 2, 1, 2, 1, 2, 0]
 
 
 def test_catalogue():
@@ -124,6 +124,57 @@ def test_command_line(spark, tree, capsys, monkeypatch):
     assert main([str(tree / "a"), "--enable", "E0104"]) == 0
     assert main([str(tree / "a"), "-f", "parseable"]) == 1 and "[E0103]" in capsys.readouterr().out
     assert main([str(tree / "a"), str(tree / "none")]) == 2
+    (tree / "bytes.py").write_bytes(b"x = '\xff'\n")
+    assert main([str(tree / "bytes.py")]) == 2 and main([str(tree / "bytes.py"), str(tree / "a")]) == 1 and "Error: " in capsys.readouterr().err
+    (tree / "clean.py").write_text("x = 1\n")
+    assert main([str(tree / "a"), str(tree / "clean.py")]) == 1
+
+
+def test_simple_command_line(spark, tree, capsys, monkeypatch):
+    from codesieve import simple
+
+    assert simple.main([str(tree / "a"), "--no-recursive", "-q"]) == 1 and capsys.readouterr().out == "1 issue(s) found\n"
+    assert simple.main([str(tree / "a"), "--json"]) == 1 and json.loads(capsys.readouterr().out)["summary"]["total"] == 2
+    assert simple.main([str(tree / "b/z.pyi"), "--disable", "E0104"]) == 0 and capsys.readouterr().out == "No issues found!\n"
+    assert simple.main([str(tree / "none")]) == 1
+    with pytest.raises(SystemExit) as e:
+        simple.main(["--version"])
+    assert e.value.code == 0
+
+    def interrupted(*_, **__):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(simple, "lint_file", interrupted)
+    assert simple.main([str(tree / "b/z.pyi")]) == 130
+
+
+def test_imports_from_disk(spark, tree):
+    """Modules that an import names are read though they aren't linted, and give no issues of their own."""
+    (tree / "lib").mkdir()
+    (tree / "lib/main.py").write_text("from helper import f\nfrom upper import g\nfrom here.deep import h\nfrom broken import k\nfrom gone import z\nf(1)\ng()\nh()\nk()\nz()\n")
+    (tree / "lib/helper.py").write_text("def f(a, b): pass\nbreak\n")
+    (tree / "upper.py").write_text("def g(a): pass\n")
+    (tree / "here").mkdir()
+    (tree / "here/deep.py").write_text("def h(a): pass\n")
+    (tree / "lib/broken.py").write_bytes(b"def k(a): pass\nx = '\xff'\n")
+    (tree / "broken.py").write_text("def k(a): pass\n")
+    one = [(r["code"], r["line"]) for r in lint_file(spark, str(tree / "lib/main.py")).orderBy("seq").collect()]
+    assert one == [("E1120", 6), ("E1120", 7), ("E1120", 8)]
+    (tree / "lib/broken.py").unlink()
+    whole = [(r["code"], r["line"]) for r in lint_path(spark, str(tree)).where("file LIKE '%/main.py'").orderBy("seq").collect()]
+    assert whole == [*one, ("E1120", 9)]
+
+
+def test_differential(spark):
+    """Codes of a status list, their fixtures, both sides' findings, results and what is unmatched in order."""
+    status = spark.createDataFrame([("E0103 loops ✅ Implemented",), ("E0104 return ✅ Implemented",), ("E0711 name ✅ Implemented",), ("E0001 ✅ Implemented",), ("E0105 ⚠️",), ("E0112 ✅ Implemented",)], "value string")
+    files = [("t/e0103.py", "break\ncontinue\nreturn 1\n"), ("t/E0104.py", "return 1\nreturn 2\n"), ("t/e0711.py", "x = 1\n"), ("t/e0105.py", "yield 1\n"), ("t/other.py", "break\n")]
+    expected = [("E0103", "E0103", 1, 9, "a"), ("E0103", "E0103", 7, 2, "late"), ("E0103", "E0103", 5, 1, "early"), ("E0103", "E0104", 3, 1, "not its code"), ("E0104", "E0104", 1, 1, "x"), ("E0104", "E0104", 2, 1, "y"), ("E0105", "E0105", 1, 1, "not listed")]
+    run = diff.differential(status, spark.createDataFrame(files, "file string, source string"), spark.createDataFrame(expected, "fixture string, code string, line int, column int, message string"))
+    rows = {r["fixture"]: (r["n_expected"], r["n_found"], r["n_matched"], round(r["accuracy"], 1), r["bucket"]) for r in run.results.collect()}
+    assert rows == {"E0103": (3, 2, 1, 33.3, "partial"), "E0104": (2, 2, 2, 100.0, "perfect"), "E0711": (0, 0, 0, 100.0, "perfect")}
+    assert run.overall.first()["accuracy"] == 60.0
+    assert [tuple(r) for r in run.unmatched.orderBy("fixture", "side", "place").select("fixture", "side", "line", "message").collect()] == [("E0103", "extra", 2, "'continue' not properly in loop"), ("E0103", "missed", 5, "early"), ("E0103", "missed", 7, "late")]
 
 
 def test_stream(spark, tree, tmp_path):
