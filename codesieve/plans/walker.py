@@ -92,6 +92,39 @@ def key_text(value: Any) -> str | None:
     return None
 
 
+class Names(set):
+    """A set of names that goes back to an earlier state at the cost of what changed since: branches and functions copy nothing."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.log: list[tuple[bool, str]] = []
+
+    def add(self, name: str) -> None:
+        if name not in self:
+            super().add(name)
+            self.log.append((True, name))
+
+    def discard(self, name: str) -> None:
+        if name in self:
+            super().discard(name)
+            self.log.append((False, name))
+
+    def mark(self) -> int:
+        return len(self.log)
+
+    def since(self, mark: int) -> set[str]:
+        """The names that are here and weren't at the mark."""
+        first: dict[str, bool] = {}
+        for added, name in self.log[mark:]:
+            first.setdefault(name, added)
+        return {name for name, added in first.items() if added and name in self}
+
+    def back(self, mark: int) -> None:
+        for added, name in reversed(self.log[mark:]):
+            super().discard(name) if added else super().add(name)
+        del self.log[mark:]
+
+
 class Walker:
     #: Methods by node type, filled below.
     statements: dict[type, Callable] = {}
@@ -104,9 +137,7 @@ class Walker:
         self.loops, self.current_class = 0, None
         self.module_defs: set[str] = set()
         self.args: set[str] = set()
-        self.locals: set[str] = set()
-        self.sure: set[str] = set()
-        self.maybe: set[str] = set()
+        self.locals, self.sure, self.maybe = Names(), Names(), Names()
         self.module_maybe: set[str] = set()
         self.declared: set[str] = set()  # global and nonlocal names, for the rest of the file
         self.imports: set[str] = set()
@@ -193,9 +224,9 @@ class Walker:
         if self.in_function:
             self.locals.add(f.name)
             self.sure.add(f.name)
-        before = self.in_function, self.args, self.locals, self.sure, self.maybe, self.usages
-        self.args = set(self.args) if self.in_function else set()
-        self.locals, self.sure, self.maybe, self.usages = set(self.locals), set(self.sure), set(self.maybe), {}
+        before = self.in_function, self.args, self.usages
+        marks = [(names, names.mark()) for names in (self.locals, self.sure, self.maybe)]
+        self.args, self.usages = set(self.args) if self.in_function else set(), {}
         self.args.update(p[0] for p in every)
         self.in_function = True
         for s in f.body:
@@ -207,7 +238,9 @@ class Walker:
                 if both := said[ast.Global] & said[ast.Nonlocal]:
                     self.emit("nested", s, names=sorted(both))
         self.block(f.body)
-        self.in_function, self.args, self.locals, self.sure, self.maybe, self.usages = before
+        self.in_function, self.args, self.usages = before
+        for names, mark in marks:
+            names.back(mark)
         self.in_async = before_async
 
     def stmt_ClassDef(self, c: ast.ClassDef) -> None:
@@ -269,48 +302,56 @@ class Walker:
 
     def doubt(self, names: set[str], at_module: bool = True, as_local: bool = True) -> None:
         """The names may be assigned from here on."""
-        self.maybe |= names
-        if self.in_function and as_local:
-            self.locals |= names
+        for name in names:
+            self.maybe.add(name)
+            if self.in_function and as_local:
+                self.locals.add(name)
         if at_module and not self.in_function and not self.in_class:
             self.module_maybe |= names
 
+    def settle(self, known: Callable[[str], bool]) -> None:
+        """Names that are sure and known aren't in doubt any more."""
+        for name in self.maybe & self.sure:
+            if known(name):
+                self.maybe.discard(name)
+
+    # Blocks only add to what is sure before them, so a branch is what it adds; handlers alone take a name away, their own, and only for themselves.
+
     def stmt_If(self, s: ast.If) -> None:
         self.expr(s.test)
-        start, hidden = self.sure, self.unreachable
-        self.sure = set(start)
+        start, hidden = self.sure.mark(), self.unreachable
         self.unreachable = hidden or isinstance(s.test, ast.Constant) and s.test.value is False
         self.block(s.body)
         self.unreachable = hidden
-        then, self.sure = self.sure, set(start)
+        then = self.sure.since(start)
+        self.sure.back(start)
         if not s.orelse:
-            self.doubt(then - self.sure)
+            self.doubt(then)
             return
         self.block(s.orelse)
-        other = self.sure
+        other = self.sure.since(start)
         if last_else_terminates(s):
-            self.sure = then | other
-            self.maybe -= self.sure
+            for name in then:
+                self.sure.add(name)
+            self.settle(lambda name: True)
         else:
-            self.sure = then & other
+            for name in other - then:
+                self.sure.discard(name)
             if self.in_function:
-                held = start & (then | other)
-                self.sure |= held
-                self.maybe -= held
-        self.doubt((then | other) - self.sure)
+                self.settle(lambda name: name not in then)
+        self.doubt({name for name in then | other if name not in self.sure})
 
     def stmt_Try(self, s: ast.Try) -> None:
-        start, unsure = set(self.sure), set(self.maybe)
+        start, unsure = self.sure.mark(), self.maybe.mark()
         self.block(s.body)
-        tried, tried_maybe = set(self.sure), set(self.maybe)
+        tried, doubted = self.sure.since(start), self.maybe.since(unsure)
         leave = bool(s.handlers) and all(terminates(h.body) for h in s.handlers)
+        self.sure.back(start)
         if s.handlers and not leave:
-            self.sure = set(start)
-            self.doubt((tried - start) | (tried_maybe - unsure - start), at_module=False)
-        common: set[str] | None = None
+            self.doubt(tried | {name for name in doubted if name not in self.sure}, at_module=False)
+        common, own = None, {h.name for h in s.handlers if h.name}
         for h in s.handlers:
-            after, self.sure = self.sure, set(start)
-            before_except, self.in_except = self.in_except, True
+            mark, before_except, self.in_except = self.sure.mark(), self.in_except, True
             if h.name:
                 for names in (self.locals, self.sure, self.args):
                     names.add(h.name)
@@ -319,16 +360,24 @@ class Walker:
                 for names in (self.locals, self.sure, self.args):
                     names.discard(h.name)
             self.in_except = before_except
-            common = set(self.sure) if common is None else common & self.sure
-            self.sure = after
-        if common is not None and not leave:
-            self.sure |= tried & common
-            self.maybe -= tried & common
+            added = self.sure.since(mark)
+            common = added if common is None else common & added
+            self.sure.back(mark)
+        if common is None or leave:
+            for name in tried:
+                self.sure.add(name)
+        else:
+            both = tried & common
+            for name in both:
+                self.sure.add(name)
+            self.settle(lambda name: name in both or name not in own)
         if s.orelse:
-            self.sure = set(tried)
+            self.sure.back(start)
+            for name in tried:
+                self.sure.add(name)
             self.block(s.orelse)
-            self.sure = set(start)
-            self.doubt(tried - start, at_module=False, as_local=False)
+            self.sure.back(start)
+            self.doubt(tried, at_module=False, as_local=False)
         self.block(s.finalbody)
 
     def stmt_Global(self, s: ast.Global) -> None:

@@ -153,6 +153,29 @@ def test_goldens(spark):
     assert not wrong
 
 
+def test_names_go_back():
+    """A set of names with marks against copies of plain sets."""
+    import random
+
+    from codesieve.plans.walker import Names
+
+    for seed in range(300):
+        r, names, copies = random.Random(seed), Names(), []
+        for _ in range(60):
+            k, x = r.random(), r.choice("abcdef")
+            if k < 0.4:
+                names.add(x)
+            elif k < 0.6:
+                names.discard(x)
+            elif k < 0.8:
+                copies.append((names.mark(), set(names)))
+            elif copies:
+                mark, then = copies.pop()
+                assert names.since(mark) == set(names) - then
+                names.back(mark)
+                assert set(names) == then
+
+
 def test_choice_of_rules(spark):
     source = {"a.py": "break\nreturn 1\n"}
     assert [r["code"] for r in found(spark, source, enable="E0104, E0103", disable="E0103")["a.py"]] == ["E0103", "E0104"]
