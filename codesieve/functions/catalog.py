@@ -102,7 +102,7 @@ def severity_rank(name: Column) -> Column:
 
 
 def symbol(code: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for c, r in RULES.items() for x in (c, r[0])]), code)
+    return F.element_at(F.expr("map(" + ", ".join(f"'{c}', '{r[0]}'" for c, r in RULES.items()) + ")"), code)
 
 
 def message(code: str, *args: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalog import BUILTINS, LIVE, message
+from ..functions.catalog import LIVE, message
 from ..functions.text import count_placeholders, inside, module_path, parent
 
 C = F.col
@@ -42,45 +42,58 @@ def _repeats(items: Column) -> Column:
     return F.transform(F.filter(placed, lambda p: p["again"]), lambda p: p["x"])
 
 
-def _local() -> dict[str, tuple[tuple[str, ...], Column]]:
-    """code -> (kinds of events, issues of one event)."""
-    method = _kind("def") & C("in_class") & ~C("in_function") & ~F.array_contains(C("decorators"), "staticmethod")
-    lead = F.get(F.filter(C("params"), lambda p: p["kind"].isin("positional_only", "positional")), F.lit(0))["name"]
-    expected = F.when(F.array_contains(C("decorators"), "classmethod"), "cls").otherwise("self")
-    init = _kind("def") & (C("name") == "__init__")
-    unknown = ~C("name").isin(*BUILTINS)
-    flow = _kind("unresolved")
-    nameless = _kind("def") & (F.size("params") == 0)
-    return {
-        "E0001": (("syntax",), _one("E0001", _kind("syntax"), C("name"))),
-        "E0211": (("def",), _one("E0211", method & nameless, C("name"))),
-        "E0213": (("def",), _one("E0213", method & ~nameless & ~lead.eqNullSafe(expected), C("name"))),
-        "E0108": (("def",), _many("E0108", _kind("def"), _repeats(C("params")), lambda p: p["name"])),
-        "E0100": (("def",), _one("E0100", init & C("yields"))),
-        "E0101": (("def",), _one("E0101", init & ~C("yields") & C("returns_value"))),
-        "E0115": (("nested",), _many("E0115", _kind("nested"), C("names"), lambda n: n)),
-        "E0103": (("jump",), _one("E0103", _kind("jump") & ~C("in_loop"), C("name"))),
-        "E0104": (("return",), _one("E0104", _kind("return") & ~C("in_function"))),
-        "E0105": (("yield",), _one("E0105", _kind("yield") & ~C("in_function"))),
-        "E0109": (("dict",), _many("E0109", _kind("dict"), _repeats(C("places")), lambda p: p["name"], lambda p: p["line"], lambda p: p["column"])),
-        "E0112": (("stars",), _one("E0112", _kind("stars") & (C("n") > 1))),
-        "E0113": (("star_target",), _one("E0113", _kind("star_target"))),
-        "E0117": (("nonlocal",), _one("E0117", _kind("nonlocal") & ~C("in_function"), C("name"))),
-        "E0118": (("global",), _many("E0118", _kind("global"), F.filter(C("places"), lambda p: p["line"] < C("line")), lambda p: p["name"], lambda p: p["line"], lambda p: p["column"])),
-        "E0601": (("unresolved",), _one("E0601", flow & (C("value") == "local"), C("name"))),
-        "E0602": (("unresolved",), _one("E0602", flow & (C("value") == "unknown") & unknown, C("name"))),
-        "E0606": (("unresolved",), _one("E0606", flow & C("value").isin("local_conditional", "module_conditional", "conditional"), C("name"))),
-        "E0704": (("raise",), _one("E0704", _kind("raise") & ~C("in_except"))),
-        "E0711": (("raise_name",), _one("E0711", _kind("raise_name"))),
-        "E1142": (("await",), _one("E1142", _kind("await") & ~C("in_async"))),
-        "E1205": (("log",), _one("E1205", _kind("log") & (C("n") - 1 > count_placeholders(C("value"))))),
-    }
+def _lead() -> Column:
+    """The first parameter that takes a position."""
+    return F.get(F.filter(C("params"), lambda p: p["kind"].isin("positional_only", "positional")), F.lit(0))["name"]
+
+
+def _method() -> Column:
+    return _kind("def") & C("in_class") & ~C("in_function") & ~F.array_contains(C("decorators"), "staticmethod")
+
+
+def _init() -> Column:
+    return _kind("def") & (C("name") == "__init__")
+
+
+def _nameless() -> Column:
+    return F.size("params") == 0
+
+
+def _misled() -> Column:
+    return ~_nameless() & ~_lead().eqNullSafe(F.when(F.array_contains(C("decorators"), "classmethod"), "cls").otherwise("self"))
+
+
+#: code -> (kinds of events, issues of one event, made when they are asked for: each column costs calls to the JVM). Names that are built in aren't among the unresolved.
+LOCAL: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "E0001": (("syntax",), lambda: _one("E0001", _kind("syntax"), C("name"))),
+    "E0211": (("def",), lambda: _one("E0211", _method() & _nameless(), C("name"))),
+    "E0213": (("def",), lambda: _one("E0213", _method() & _misled(), C("name"))),
+    "E0108": (("def",), lambda: _many("E0108", _kind("def"), _repeats(C("params")), lambda p: p["name"])),
+    "E0100": (("def",), lambda: _one("E0100", _init() & C("yields"))),
+    "E0101": (("def",), lambda: _one("E0101", _init() & ~C("yields") & C("returns_value"))),
+    "E0115": (("nested",), lambda: _many("E0115", _kind("nested"), C("names"), lambda n: n)),
+    "E0103": (("jump",), lambda: _one("E0103", _kind("jump") & ~C("in_loop"), C("name"))),
+    "E0104": (("return",), lambda: _one("E0104", _kind("return") & ~C("in_function"))),
+    "E0105": (("yield",), lambda: _one("E0105", _kind("yield") & ~C("in_function"))),
+    "E0109": (("dict",), lambda: _many("E0109", _kind("dict"), _repeats(C("places")), lambda p: p["name"], lambda p: p["line"], lambda p: p["column"])),
+    "E0112": (("stars",), lambda: _one("E0112", _kind("stars") & (C("n") > 1))),
+    "E0113": (("star_target",), lambda: _one("E0113", _kind("star_target"))),
+    "E0117": (("nonlocal",), lambda: _one("E0117", _kind("nonlocal") & ~C("in_function"), C("name"))),
+    "E0118": (("global",), lambda: _many("E0118", _kind("global"), F.filter(C("places"), lambda p: p["line"] < C("line")), lambda p: p["name"], lambda p: p["line"], lambda p: p["column"])),
+    "E0601": (("unresolved",), lambda: _one("E0601", _kind("unresolved") & (C("value") == "local"), C("name"))),
+    "E0602": (("unresolved",), lambda: _one("E0602", _kind("unresolved") & (C("value") == "unknown"), C("name"))),
+    "E0606": (("unresolved",), lambda: _one("E0606", _kind("unresolved") & C("value").isin("local_conditional", "module_conditional", "conditional"), C("name"))),
+    "E0704": (("raise",), lambda: _one("E0704", _kind("raise") & ~C("in_except"))),
+    "E0711": (("raise_name",), lambda: _one("E0711", _kind("raise_name"))),
+    "E1142": (("await",), lambda: _one("E1142", _kind("await") & ~C("in_async"))),
+    "E1205": (("log",), lambda: _one("E1205", _kind("log") & (C("n") - 1 > count_placeholders(C("value"))))),
+}
 
 
 def kinds_of(codes: tuple[str, ...]) -> set[str]:
     """The kinds of events that these rules read: the parser is asked for no others."""
     wanted = {"syntax"}
-    local = {"E0102": ("def", "class", "module_def"), "E1120": ("module", "def", "module_def", "call", "import")} | {c: k for c, (k, _) in _local().items()} if codes else {}
+    local = {"E0102": ("def", "class", "module_def"), "E1120": ("module", "def", "module_def", "call", "import")} | {c: k for c, (k, _) in LOCAL.items()} if codes else {}
     for code in codes:
         wanted.update(local.get(code, ()))
     return wanted
@@ -88,13 +101,13 @@ def kinds_of(codes: tuple[str, ...]) -> set[str]:
 
 def local_issues(events: DataFrame, codes: tuple[str, ...]) -> DataFrame:
     """All one-event rules in one projection, which asks an event only for the rules of its kind."""
-    by_kind: dict[str, list[tuple[int, Column]]] = {}
-    for place, (code, (kinds, issues)) in enumerate(_local().items()):
+    by_kind: dict[str, list[Callable[[], Column]]] = {}
+    for code, (kinds, issues) in LOCAL.items():
         for kind in kinds if code in codes else ():
-            by_kind.setdefault(kind, []).append((place, issues))
+            by_kind.setdefault(kind, []).append(issues)
     none, found = F.array().cast(_ISSUE), None
     for kind, rules in by_kind.items():
-        here = [F.coalesce(issues, none) for _, issues in rules]
+        here = [F.coalesce(issues(), none) for issues in rules]
         issues = here[0] if len(here) == 1 else F.concat(*here)
         found = F.when(C("kind") == kind, issues) if found is None else found.when(C("kind") == kind, issues)
     flat = events.where(_kind(*sorted(by_kind))).select("file", "seq", F.posexplode(found).alias("k", "i"))
@@ -167,7 +180,7 @@ def missing_arguments(events: DataFrame, cwd: str = "", others: DataFrame | None
 def issues(events: DataFrame, codes: tuple[str, ...] = LIVE, cwd: str = "", others: DataFrame | None = None) -> DataFrame:
     """Issues of the given rules; seq orders those of a file as they are met."""
     parts = []
-    if set(codes) & _local().keys():
+    if set(codes) & LOCAL.keys():
         parts.append(local_issues(events, codes))
     if "E0102" in codes:
         parts.append(redefinitions(events))
