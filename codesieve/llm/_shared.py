@@ -42,8 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Every path that shared_path() has given out, in order.
+_given: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/codesieve-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark)}/codesieve-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def mark() -> int:
+    """For sweep(): what has been written into the shared folder so far."""
+    return len(_given)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Removes what was written since then, but for these tables: they must be all that is read later."""
+    kept = {t._stashed_at for t in keep}
+    for path in _given[since:]:
+        if path not in kept:
+            _remove(spark, path)
+    _given[since:] = sorted(kept)
 
 
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
