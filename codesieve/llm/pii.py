@@ -153,7 +153,7 @@ def _look_cuts(text: str) -> Iterator[Span]:
 
 def _spelled_cuts(text: str) -> Iterator[Span]:
     for m in _SPELLED.finditer(text):
-        parts = [(p.start() + m.start(), p.end() + m.start(), "+" if p[1] else "." if p[2] else _WORDS[p[3].lower()] if p[3] else p[4] or "-") for p in _PART.finditer(m[0])]
+        parts = [(p.start() + m.start(), p.end() + m.start(), "+" if p[1] else "." if p[2] else _WORDS[p[3].casefold()] if p[3] else p[4] or "-") for p in _PART.finditer(m[0])]
         if sum(len(p[2]) for p in parts) >= 4:
             for k, (a, b, new) in enumerate(parts):
                 yield a, parts[k + 1][0] if k + 1 < len(parts) else b, new
@@ -191,14 +191,54 @@ def _named_cuts(text: str) -> Iterator[Span]:
             yield *m.span(), "@"
 
 
+# Searching a text for what a pattern can't do without is many times faster than the pattern; each of these is necessary for a cut, so that
+# leaving a transducer out where it fails changes nothing, in texts without look-alikes as _look_cuts leaves them (ungated() is for the test of that).
+
+_PLAIN = bytes(c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 else 32 for c in range(256))
+_TOKENS = frozenset(part for w in _WORDS for part in w.encode().translate(_PLAIN).split())
+_BETWEEN = frozenset(w.encode() for w in f"dot|point|punkt|punto|{_DASH}".split("|"))
+
+
+def _may_spell(text: str) -> bool:
+    """A digit word, or what its accents leave of it, before another one, figures, or a word between digits."""
+    tokens = text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    if _TOKENS.isdisjoint(tokens):
+        return False
+    return any(t in _TOKENS and (n in _TOKENS or n in _BETWEEN or n[:1].isdigit()) for t, n in zip(tokens, tokens[1:]))
+
+
+def _any(*marks: str):
+    def holds(text: str) -> bool:
+        low = text.lower()
+        return any(m in low for m in marks)
+
+    return holds
+
+
+def _gated(need, cuts):
+    def gated(text: str) -> Iterator[Span]:
+        return cuts(text) if need(text) else iter(())
+
+    gated.cuts = cuts
+    return gated
+
+
 #: In this order. _SAID comes before the dots that it needs to see, and names after the dots that may shape them.
-TRANSDUCERS = (_entity_cuts, _look_cuts, _swaps(_AT, "@"), _swaps(_DOT, "."), _spelled_cuts, _swaps(_SAID, "@"), _swaps(_SAID_DOT, "."), _named_cuts, _group_cuts)
+TRANSDUCERS = (
+    _gated(_any("&", "%"), _entity_cuts), _gated(lambda text: not text.isascii(), _look_cuts), _gated(_any(*"[({<"), _swaps(_AT, "@")), _gated(_any(*"[({<"), _swaps(_DOT, ".")), _gated(_may_spell, _spelled_cuts),
+    _gated(_any(" at ", "_at_", "-at-", "@"), _swaps(_SAID, "@")), _gated(_any(" dot ", "_dot_", "-dot-", " . ", " point ", " punkt ", " punto "), _swaps(_SAID_DOT, ".")), _gated(_any(" at ", "@"), _named_cuts),
+    _gated(lambda text: _DIGIT.search(text) is not None, _group_cuts),
+)
+
+
+def ungated() -> tuple:
+    return tuple(t.cuts for t in TRANSDUCERS)
 
 
-def disguised(text: str, base: list[Span]) -> list[Span]:
+def disguised(text: str, base: list[Span], transducers: tuple = ()) -> list[Span]:
     """Spans of the source whose disguise hides an identifier, or a part of it; none that lies within a base span of its kind."""
     a = Aligned(text)
-    for t in TRANSDUCERS:
+    for t in transducers or TRANSDUCERS:
         a.rewrite(t(a.text))
     if a.text is text:
         return []
