@@ -159,6 +159,100 @@ def test_near_copies_go(spark, monkeypatch, hot):
     assert len(kept) - 300 <= 0.05 * 800
 
 
+@pytest.mark.parametrize("hot, part", [(4, 5), (1024, 1 << 14)])
+def test_no_link_of_near_copies_is_lost(spark, monkeypatch, hot, part):
+    """first_of_each against all pairs: copies that share half their shingles but no key, texts within 2 bits that share neither, and hot buckets."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "PART", part, raising=False)
+    rng = random.Random(8)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = []
+    for _ in range(120):
+        head = some(9)
+        texts += [f"{head} {some(3)}", f"{head} {some(3)}"]
+    for k in range(20):  # one shingle outweighs the others
+        texts += [f"{some(70)} " + f"same{k} " * 75, f"{some(70)} " + f"same{k} " * 75]
+    for _ in range(3):  # chains, in which the ends are no copies of each other
+        now = some(14).split()
+        for j in range(60):
+            now[j % 14] = some(1)
+            texts.append(" ".join(now))
+    rng.shuffle(texts)
+    prints = [brute_simhash(t) for t in texts]
+    sets = [set(neardup.shingles(t.encode().split()).tolist()) for t in texts]
+    keys = [set(enumerate(neardup.sample_keys(neardup.shingles(t.encode().split())))) for t in texts]
+    root, why = list(range(len(texts))), Counter()
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = bin(prints[i] ^ prints[j]).count("1")
+            alike = 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])
+            if apart <= 2 or apart <= neardup.WIDE and (keys[i] & keys[j] or alike):
+                why["key" if keys[i] & keys[j] else "alike" if alike else "bits"] += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert min(why["key"], why["alike"], why["bits"]) > 5
+    kept = sorted(r["doc_id"] for r in neardup.first_of_each(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)).collect())
+    assert kept == sorted({find(k) for k in range(len(texts))})
+
+
+def test_texts_of_one_fingerprint_are_all_asked(spark):
+    """Each of two texts with one fingerprint has copies that aren't the other's."""
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    beside = "aa bb cc " * 100
+    rows, k = [], 0
+    while len(rows) < 40:
+        a, b = f"{beside}{some(20)}", f"{beside}{some(20)}"
+        if brute_simhash(a) == brute_simhash(b):
+            rows += [(k, a), (k + 1, b)]
+            k += 2
+    copies = [(1000 + k, t[len(beside) :] + " " + "aa bb cc " * 6) for k, t in rows]
+    prints, sets = {}, {}
+    for k, t in rows + copies:
+        prints[k], sets[k] = brute_simhash(t), set(neardup.shingles(t.encode().split()).tolist())
+    linked = {k for k, _ in copies if bin(prints[k] ^ prints[k - 1000]).count("1") <= neardup.WIDE and 2 * len(sets[k] & sets[k - 1000]) >= len(sets[k] | sets[k - 1000])}
+    kept = {r["doc_id"] for r in neardup.first_of_each(spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(3)).collect()}
+    assert linked and not kept & linked
+
+
+def test_prefixes_of_alike_sets_meet():
+    """Whatever shingles are taken for frequent ones."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 4, 9, 50):
+        for size in range(1, 2 * n + 1):
+            for common in range(1, min(n, size) + 1):
+                if 2 * common < n + size - common:
+                    continue
+                h = rng.integers(0, 1 << 63, n + size - common, dtype=np.uint64)
+                often = rng.permutation(h)[: rng.integers(0, len(h) + 1)]
+                place = np.argsort(often, kind="stable")
+                a, b = (neardup.prefix(np.sort(x), often[place], place) for x in (h[:n], h[n - common :]))
+                assert len(np.intersect1d(a, b))
+
+
+def test_lanes_of_different_roots():
+    """Buckets compared by planes and row by row, against all pairs."""
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 7, neardup.ROWWISE - 1, neardup.ROWWISE, 300, 5]
+    cut = np.cumsum([0, *sizes[:-1]])
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    n = sum(sizes)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 16), replace=False)) for _ in range(n)]
+    fps = base[rng.integers(0, 4, n)] ^ np.array(flips, np.uint64)
+    root, size = rng.integers(0, 3, n), rng.integers(5, 30, n)
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    a, b = neardup._apart(cut, fps, root, size, 0.5)
+    near = lambda i, j: bin(int(fps[i] ^ fps[j])).count("1") <= neardup.WIDE and 2 * min(size[i], size[j]) >= max(size[i], size[j])
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if bucket[i] == bucket[j] and root[i] != root[j] and near(i, j)}
+    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())} == want
+
+
 @pytest.mark.parametrize("hot", [4, 1024])
 def test_links_of_dense_fingerprints(spark, monkeypatch, hot):
     """Hot buckets are split and lose no link."""
