@@ -86,8 +86,8 @@ IMPORTING = 16
 def modules(orders: DataFrame) -> DataFrame:
     """(file, source): a module for each order."""
     k = F.col("o_orderkey")
-    # Keys are cheap to move and modules dear to parse: a small table is spread over all cores before it becomes text.
-    orders = orders.select("o_orderkey").repartition(orders.sparkSession.sparkContext.defaultParallelism, "o_orderkey")
+    # Keys are cheap to move and modules dear to parse: a small table is spread over all cores before it becomes text, in more parts than cores, so that a slow core doesn't hold up a large one.
+    orders = orders.select("o_orderkey").repartition(4 * orders.sparkSession.sparkContext.defaultParallelism, "o_orderkey")
     text = F.element_at(F.array(*[F.lit(m) for m, _ in CASES]), (k % len(CASES) + 1).cast("int"))
     text = F.replace(F.replace(text, F.lit("{k}"), k.cast("string")), F.lit("{j}"), (k - 3).cast("string"))
     return orders.select(F.concat(F.lit("m"), k.cast("string"), F.lit(".py")).alias("file"), F.concat(F.repeat(F.lit("\n"), (k % 7).cast("int")), text).alias("source"))

@@ -88,6 +88,10 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, s, t, _LETTERS.get(c[0], "error"), live) for c, (s, t, live) in RULES.items()], "code string, symbol string, template string, severity string, live boolean")
 
 
+def severity_of(code: str) -> str:
+    return _LETTERS.get(code[:1], "error")
+
+
 def severity(code: Column) -> Column:
     """The severity of a code by its first letter; error for any other."""
     first, result = F.substring(code, 1, 1), F.lit("error")
@@ -107,6 +111,9 @@ def symbol(code: Column) -> Column:
 
 def message(code: str, *args: Column) -> Column:
     """The template's text; the first argument fills every {}, later ones only {1}, {2}, ..."""
+    parts = RULES[code][1].split("{}")
+    if len(args) == 1 and "{0}" not in RULES[code][1]:
+        return F.concat(*[x for k, part in enumerate(parts) for x in ([args[0]] if k else []) + ([F.lit(part)] if part else [])])
     text: Column = F.lit(RULES[code][1])
     for k, a in enumerate(args):
         text = F.replace(F.replace(text, F.lit(f"{{{k}}}"), a), F.lit("{}"), a)

@@ -1,7 +1,7 @@
-"""Rules: event table -> issues (file, seq, code, message, line, column).
+"""Rules: event table -> issues (file, seq, code, message, line, column, severity, symbol).
 
-Most rules look at one event and are fused into one projection over one scan. Redefinitions need windows and calls an as-of join; those
-take their few kinds of events alone through a shuffle by file and name.
+Nearly all rules look at one event, which says what came before it in its file, and are fused into one projection over one scan. Only calls of
+imported names need other files: those, the imports and the functions that modules offer are joined by path and name.
 """
 
 from __future__ import annotations
@@ -11,23 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalog import LIVE, message
+from ..functions.catalog import LIVE, RULES, message, severity_of
 from ..functions.text import count_placeholders, inside, module_path, parent
 
 C = F.col
-_ISSUE = "array<struct<code: string, message: string, line: int, column: int>>"
-#: Within one event the window and join rules come first, then those of the projection in this order.
+_ISSUE = "array<struct<code: string, message: string, line: int, column: int, severity: string, symbol: string>>"
+#: Within one event the join rules come first, then those of the projection in this order.
 STEP = 100_000
 
 
+def _kinds(code: str) -> list[Column]:
+    return [F.lit(severity_of(code)).alias("severity"), F.lit(RULES[code][0]).alias("symbol")]
+
+
 def _one(code: str, when: Column, *args: Column) -> Column:
-    issue = F.struct(F.lit(code).alias("code"), message(code, *args).alias("message"), C("line"), C("column"))
+    issue = F.struct(F.lit(code).alias("code"), message(code, *args).alias("message"), C("line"), C("column"), *_kinds(code))
     return F.when(when & ~C("unreachable"), F.array(issue))
 
 
 def _many(code: str, when: Column, items: Column, name: Callable[[Column], Column], line: Callable[[Column], Column] | None = None, column: Callable[[Column], Column] | None = None) -> Column:
     """An issue for each item of an array."""
-    make = lambda x: F.struct(F.lit(code).alias("code"), message(code, name(x)).alias("message"), (line(x) if line else C("line")).alias("line"), (column(x) if column else C("column")).alias("column"))
+    make = lambda x: F.struct(F.lit(code).alias("code"), message(code, name(x)).alias("message"), (line(x) if line else C("line")).alias("line"), (column(x) if column else C("column")).alias("column"), *_kinds(code))
     return F.when(when & ~C("unreachable") & items.isNotNull(), F.transform(items, make))
 
 
@@ -63,8 +67,26 @@ def _misled() -> Column:
     return ~_nameless() & ~_lead().eqNullSafe(F.when(F.array_contains(C("decorators"), "classmethod"), "cls").otherwise("self"))
 
 
+def _redefined() -> Column:
+    """Of a definition: in a class there is one of its name before it, or at the top it isn't in the place of the module's last one."""
+    return _kind("def", "class") & (C("n").isNotNull() | C("places").isNotNull())
+
+
+def _definition() -> Column:
+    method, function = F.concat(F.lit("method already defined line "), C("n").cast("string")), F.concat(F.lit("function already defined line "), F.get("places", F.lit(0))["line"].cast("string"))
+    return F.when(_kind("class"), C("name")).when(C("in_class"), method).otherwise(function)
+
+
+def _lacking() -> Column:
+    """The first required name of a call that neither a position nor a keyword gives."""
+    rest = F.when(F.size("required") > C("n"), F.slice(C("required"), C("n") + 1, F.size("required")))
+    return F.get(F.filter(rest, lambda r: ~F.coalesce(F.array_contains(C("names"), r), F.lit(False))), F.lit(0))
+
+
 #: code -> (kinds of events, issues of one event, made when they are asked for: each column costs calls to the JVM). Names that are built in aren't among the unresolved.
 LOCAL: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "E0102": (("def", "class"), lambda: _one("E0102", _redefined(), _definition())),
+    "E1120": (("call",), lambda: _one("E1120", _kind("call") & C("value").isNull() & _lacking().isNotNull(), _lacking())),
     "E0001": (("syntax",), lambda: _one("E0001", _kind("syntax"), C("name"))),
     "E0211": (("def",), lambda: _one("E0211", _method() & _nameless(), C("name"))),
     "E0213": (("def",), lambda: _one("E0213", _method() & _misled(), C("name"))),
@@ -90,17 +112,37 @@ LOCAL: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
 }
 
 
+#: code -> what a text must have for an issue: of each of these groups of words so many. Rules that aren't here need what their events need. (Python's keywords are spelled in one way only, unlike names.)
+WORDS: dict[str, tuple[tuple[int, tuple[str, ...]], ...]] = {
+    "E0102": ((2, ("def", "class")),), "E0211": ((1, ("class",)), (1, ("def",))), "E0213": ((1, ("class",)), (1, ("def",))), "E0112": ((2, ("*",)),), "E0115": ((1, ("global",)), (1, ("nonlocal",))),
+    "E0601": ((1, ("def",)),), "E0606": ((1, ("if", "try")),),
+}
+
+
+def needs_of(codes: tuple[str, ...]) -> tuple | None:
+    """A text that has what one of these says may have issues, any other has none; None: any text may have some."""
+    return tuple(WORDS[c] for c in codes) if codes and set(codes) <= WORDS.keys() else None
+
+
 def kinds_of(codes: tuple[str, ...]) -> set[str]:
     """The kinds of events that these rules read: the parser is asked for no others."""
-    wanted = {"syntax"}
-    local = {"E0102": ("def", "class", "module_def"), "E1120": ("module", "def", "module_def", "call", "import")} | {c: k for c, (k, _) in LOCAL.items()} if codes else {}
+    wanted = {"module", "import"} if "E1120" in codes else set()
     for code in codes:
-        wanted.update(local.get(code, ()))
+        wanted.update(LOCAL[code][0] if code in LOCAL else ())
     return wanted
 
 
-def local_issues(events: DataFrame, codes: tuple[str, ...]) -> DataFrame:
-    """All one-event rules in one projection, which asks an event only for the rules of its kind."""
+#: The kinds of rows that say what lies across files; of calls those of names that were imported.
+_LINKS = ("module", "import", "call")
+_LINK_COLUMNS = ("name", "value", "n", "names", "required", "since", "offers")
+COLUMNS = ("code", "message", "line", "column", "severity", "symbol")
+
+
+def decided(events: DataFrame, codes: tuple[str, ...]) -> DataFrame:
+    """Issues of all one-event rules in one projection, which asks an event only for the rules of its kind, and the events that issues across files need.
+
+    (file, seq, kind, code, message, line, column, severity, symbol) and the columns of links. An issue has no kind, and its seq is times STEP; a link has no code.
+    """
     by_kind: dict[str, list[Callable[[], Column]]] = {}
     for code, (kinds, issues) in LOCAL.items():
         for kind in kinds if code in codes else ():
@@ -110,30 +152,15 @@ def local_issues(events: DataFrame, codes: tuple[str, ...]) -> DataFrame:
         here = [F.coalesce(issues(), none) for issues in rules]
         issues = here[0] if len(here) == 1 else F.concat(*here)
         found = F.when(C("kind") == kind, issues) if found is None else found.when(C("kind") == kind, issues)
-    flat = events.where(_kind(*sorted(by_kind))).select("file", "seq", F.posexplode(found).alias("k", "i"))
-    return flat.select("file", (C("seq").cast("long") * STEP + C("k") + 1).alias("seq"), "i.code", "i.message", "i.line", "i.column")
-
-
-def redefinitions(events: DataFrame) -> DataFrame:
-    """E0102: in a class all but the first of a name; at the top all whose place isn't that of the module's last definition of the name."""
-    defs = events.where(_kind("def", "class", "module_def")).select("file", "seq", "kind", "line", "column", "name", "in_class", "in_function", "current_class", "unreachable")
-    by_name = Window.partitionBy("file", "name")
-    member = C("in_class") & (C("kind") != "module_def")
-    in_class = Window.partitionBy("file", "name", F.when(member, C("current_class"))).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(C("kind") == "module_def", F.struct("seq", "line", "column"))).over(by_name)
-    first = F.first(F.when(member, C("line")), ignorenulls=True).over(in_class)
-    seen = defs.withColumn("last", last).withColumn("first", first)
-    top = ~C("in_class") & ~C("in_function") & (C("kind") != "module_def") & C("last").isNotNull() & ((C("last.line") != C("line")) | (C("last.column") != C("column")))
-    text = (
-        F.when(C("kind") == "class", C("name"))
-        .when(member, F.concat(F.lit("method already defined line "), C("first").cast("string")))
-        .otherwise(F.concat(F.lit("function already defined line "), C("last.line").cast("string")))
-    )
-    return seen.where((top | member & C("first").isNotNull()) & ~C("unreachable")).select("file", (C("seq").cast("long") * STEP).alias("seq"), F.lit("E0102").alias("code"), message("E0102", text).alias("message"), "line", "column")
-
-
-def _signature(params: Column) -> Column:
-    return F.transform(F.filter(params, lambda p: p["kind"].isin("positional_only", "positional") & ~p["has_default"]), lambda p: p["name"])
+    link = _kind("module", "import") | _kind("call") & (C("value") == "import") & ~C("unreachable") if "E1120" in codes else F.lit(False)
+    wanted = sorted({*by_kind, *(_LINKS if "E1120" in codes else ())})
+    if found is None:
+        return events.where("false").select("file", C("seq").cast("long").alias("seq"), "kind", *[F.lit(None).cast("int" if c in ("line", "column") else "string").alias(c) for c in COLUMNS], *_LINK_COLUMNS)
+    # The array is a column before it is taken apart, within the generator it would be evaluated without generated code; and nothing is asked of it before that, since each filter would evaluate it again.
+    flat = events.where(_kind(*wanted)).select("file", "seq", F.when(link, C("kind")).alias("kind"), "line", "column", *_LINK_COLUMNS, found.alias("found"))
+    flat = flat.select("file", "seq", "kind", "line", "column", *_LINK_COLUMNS, F.posexplode_outer("found").alias("k", "i")).where(C("i").isNotNull() | C("kind").isNotNull())
+    seq = F.when(C("i").isNull(), C("seq").cast("long")).otherwise(C("seq").cast("long") * STEP + C("k") + 1)
+    return flat.select("file", seq.alias("seq"), "kind", *[F.coalesce(f"i.{c}", c).alias(c) if c in ("line", "column") else C(f"i.{c}").alias(c) for c in COLUMNS], *_LINK_COLUMNS)
 
 
 def _paths(events: DataFrame, cwd: str) -> DataFrame:
@@ -150,45 +177,40 @@ def unread_modules(events: DataFrame, cwd: str = "") -> DataFrame:
     return _paths(events, cwd).select("path").distinct().join(events.where(_kind("module")).select(C("file").alias("path")), "path", "left_anti")
 
 
-def signatures(events: DataFrame, cwd: str = "", others: DataFrame | None = None) -> DataFrame:
-    """(file, seq, name, required) of functions from where they are known on: top-level definitions, and functions that an import finds.
+def imported(events: DataFrame, cwd: str = "", others: DataFrame | None = None) -> DataFrame:
+    """(file, seq, name, required) of the functions that imports find.
 
     An import takes the first of its paths that is a file of events, or of others, which are events of modules that aren't linted; in it the first
     top-level def of the name counts.
     """
-    own = events.where(_kind("def") & ~C("in_class") & ~C("in_function")).select("file", "seq", "name", _signature(C("params")).alias("required"))
-    every = events.where(_kind("module", "module_def")).select("file", "seq", "kind", "name", "value", "params")
+    every = events.where(_kind("module")).select(C("file").alias("path"), "offers")
     if others is not None:
-        every = every.unionByName(others.where(_kind("module", "module_def")).select(*every.columns))
-    there = _paths(events, cwd).join(every.where(_kind("module")).select(C("file").alias("path")).distinct(), "path")
-    chosen = there.groupBy("file", "seq", "name", "wanted").agg(F.min_by("path", "rank").alias("path"))
-    exported = every.where(_kind("module_def") & (C("value") == "def")).groupBy(C("file").alias("path"), C("name").alias("wanted")).agg(F.min_by(_signature(C("params")), "seq").alias("required"))
-    return own.unionByName(chosen.join(exported, ["path", "wanted"]).select("file", "seq", "name", "required"))
+        every = every.unionByName(others.where(_kind("module")).select(C("file").alias("path"), "offers"))
+    paths = _paths(events, cwd)
+    there = every.join(paths.select("path").distinct(), "path", "left_semi")
+    # A row for the module itself and one for each function, and for an import a row that looks for either: a module that all import is joined by name.
+    offers = F.split(F.concat(F.lit("\n"), F.coalesce("offers", F.lit(""))), "\n")
+    offered = there.select("path", F.explode(F.array_distinct(offers)).alias("o")).select("path", F.split("o", " ").alias("o"))
+    offered = offered.select("path", F.get("o", F.lit(0)).alias("key"), F.slice("o", F.lit(2), F.size("o")).alias("required"))
+    met = paths.withColumn("key", F.explode(F.array(F.lit(""), C("wanted")))).join(offered, ["path", "key"])
+    best = met.groupBy("file", "seq", "name").agg(F.min("rank").alias("rank"), F.min(F.when(C("key") != "", F.struct("rank", "required"))).alias("best"))
+    return best.where("best.rank = rank").select("file", "seq", "name", "best.required")
 
 
 def missing_arguments(events: DataFrame, cwd: str = "", others: DataFrame | None = None) -> DataFrame:
-    """E1120: each call takes the latest signature before it, and its first required name that neither a position nor a keyword gives."""
+    """E1120 of names that were imported after the file's own function of that name, if any: a call takes the latest import before it that finds
+    a function, or else that own one, unless it came later."""
     none = F.lit(None)
-    known = signatures(events, cwd, others).select("file", "name", "seq", "required", none.cast("int").alias("n"), none.cast("array<string>").alias("names"), none.cast("int").alias("line"), none.cast("int").alias("column"), F.lit(True).alias("unreachable"))
-    calls = events.where(_kind("call")).select("file", "name", "seq", none.cast("array<string>").alias("required"), "n", "names", "line", "column", "unreachable")
-    so_far = Window.partitionBy("file", "name").orderBy("seq", F.col("n").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    met = known.unionByName(calls).withColumn("required", F.last("required", ignorenulls=True).over(so_far)).where(C("n").isNotNull() & ~C("unreachable") & (F.size("required") > C("n")))
-    lacking = F.get(F.filter(F.slice(C("required"), C("n") + 1, F.size("required")), lambda r: ~F.coalesce(F.array_contains(C("names"), r), F.lit(False))), F.lit(0))
-    return met.withColumn("lacking", lacking).where("lacking IS NOT NULL").select("file", (C("seq").cast("long") * STEP).alias("seq"), F.lit("E1120").alias("code"), message("E1120", C("lacking")).alias("message"), "line", "column")
-
-
-def issues(events: DataFrame, codes: tuple[str, ...] = LIVE, cwd: str = "", others: DataFrame | None = None) -> DataFrame:
-    """Issues of the given rules; seq orders those of a file as they are met."""
-    parts = []
-    if set(codes) & LOCAL.keys():
-        parts.append(local_issues(events, codes))
-    if "E0102" in codes:
-        parts.append(redefinitions(events))
-    if "E1120" in codes:
-        parts.append(missing_arguments(events, cwd, others))
-    if not parts:
-        parts.append(local_issues(events, ("E0001",)).where("false"))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    known = imported(events, cwd, others).select("file", "name", "seq", "required", none.cast("int").alias("n"), none.cast("array<string>").alias("names"), none.cast("int").alias("since"), none.cast("int").alias("line"), none.cast("int").alias("column"))
+    calls = events.where(_kind("call")).select(*known.columns)
+    so_far = Window.partitionBy("file", "name").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last(F.when(C("n").isNull(), F.struct("seq", "required")), ignorenulls=True).over(so_far)
+    met = known.unionByName(calls).withColumn("latest", latest).where(C("n").isNotNull())
+    met = met.withColumn("required", F.when(C("latest.seq") > C("since"), C("latest.required")).otherwise(C("required"))).withColumn("lacking", _lacking())
+    return met.where("lacking IS NOT NULL").select("file", (C("seq").cast("long") * STEP).alias("seq"), F.lit("E1120").alias("code"), message("E1120", C("lacking")).alias("message"), "line", "column", *_kinds("E1120"))
+
+
+def issues(table: DataFrame, codes: tuple[str, ...] = LIVE, linked: DataFrame | None = None) -> DataFrame:
+    """Issues of the given rules from what decided() returns, and those across files; seq orders those of a file as they are met."""
+    found = table.where(C("code").isNotNull()).select("file", "seq", *COLUMNS)
+    return found if linked is None else found.unionByName(linked.select("file", "seq", *COLUMNS))

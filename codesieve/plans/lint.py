@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import LIVE, severity, symbol
+from ..functions.catalog import LIVE
 from ..operators import rules
 from ..session import stash
 from .parse import events as parse
@@ -68,25 +68,27 @@ def chosen(enable: Iterable[str] = (), disable: Iterable[str] = (), errors_only:
 
 
 def lint(
-    sources: DataFrame, enable: str | Iterable[str] | None = None, disable: str | Iterable[str] | None = None, errors_only: bool = False, cwd: str = "", materialize: bool | None = None, lookup: Callable[[DataFrame], DataFrame] | None = None
+    sources: DataFrame, enable: str | Iterable[str] | None = None, disable: str | Iterable[str] | None = None, errors_only: bool = False, cwd: str = "", materialize: bool | None = None, lookup: Callable[[DataFrame], DataFrame] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Issues (code, message, file, line, column, severity, symbol, seq) of sources (file, source); seq orders those of one file.
 
-    A module that can't be parsed has its one E0001 whatever rules run, unless those leave that code out. With rules that read
-    the event table more than once it is written to the shared folder first, so that nothing is parsed twice (materialize). lookup gets the paths
+    A module that can't be parsed has its one E0001 whatever rules run, unless those leave that code out. Where rules look across files
+    the issues of single files and what those rules read are written to the shared folder first, so that nothing is parsed twice (materialize). lookup gets the paths
     (path) of imported modules that sources hasn't, and returns (file, source) of those that exist: their signatures are known, their issues aren't reported.
+    stored: all issues lie in the shared folder, for callers that read them more than once.
     """
     codes = chosen(codes_in(enable), codes_in(disable), errors_only)
-    wanted = rules.kinds_of(codes)
-    table = parse(sources, wanted)
-    scans = bool(set(codes) - {"E0102", "E1120"}) + ("E0102" in codes) + 3 * ("E1120" in codes)
-    if materialize if materialize is not None else scans > 1:
+    table, across = rules.decided(parse(sources, rules.kinds_of(codes), sparse=True, needs=rules.needs_of(codes)), codes), "E1120" in codes
+    if stored or (across if materialize is None else materialize):
         table = stash(table, "events")
-    others = None
-    if lookup and "E1120" in codes:
-        others = stash(parse(lookup(rules.unread_modules(table, cwd)), ("module", "module_def")), "imported")
-    found = rules.issues(table, codes, cwd, others)
-    return found.select("code", "message", "file", "line", "column", severity(F.col("code")).alias("severity"), symbol(F.col("code")).alias("symbol"), "seq")
+    linked = None
+    if across:
+        others = stash(parse(lookup(rules.unread_modules(table, cwd)), ("module",), sparse=True), "imported") if lookup else None
+        linked = rules.missing_arguments(table, cwd, others)
+        if stored:
+            linked = stash(linked, "linked")
+    return rules.issues(table, codes, linked).select(*COLUMNS, "seq")
 
 
 def keep(issues: DataFrame, enable: str | Iterable[str] | None = None, disable: str | Iterable[str] | None = None, errors_only: bool = False) -> DataFrame:
