@@ -29,16 +29,26 @@ def severity_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count("*").alias("n")).orderBy(severity_rank(F.col("severity")))
 
 
-_LINE = ("%s:%d:%d: %s: %s (%s)", "file", "line", "column")
+def _joined(*parts: Column | str) -> Column:
+    """Texts and columns in a row; null is 'null'. What format_string gives, in generated code: reports make each line twice, since they are sorted."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
 
 
-def text_report(issues: DataFrame, colour: bool = False) -> DataFrame:
-    """(text) in order: for each file a headline and its issues by line and column, as they were met where those are equal; then the counts. No issues: no line."""
-    issues = stash(issues, "issues")  # four parts read it
+def _line(code: Column) -> Column:
+    c = F.col
+    return _joined(c("file"), ":", c("line"), ":", c("column"), ": ", code, ": ", c("message"), " (", c("symbol"), ")")
+
+
+def text_report(issues: DataFrame, colour: bool = False, stored: bool = False) -> DataFrame:
+    """(text) in order: for each file a headline and its issues by line and column, as they were met where those are equal; then the counts. No issues: no line.
+
+    stored: issues are cheap to read again; else they are written first, since four parts read them.
+    """
+    issues = issues if stored else stash(issues, "issues")
     place = lambda part, file, line, column, seq: (F.lit(part).alias("part"), file.alias("file"), line.alias("line"), column.alias("column"), seq.cast("long").alias("seq"))
     c, at = F.col, F.lit(-1)
     headline = issues.select("file").distinct().select(*place(0, c("file"), at, at, at), F.concat(F.lit("\n************* Module "), "file").alias("text"))
-    body = issues.select(*place(0, c("file"), c("line"), c("column"), c("seq")), F.format_string(*_LINE, _coloured(c("code"), colour), "message", "symbol").alias("text"))
+    body = issues.select(*place(0, c("file"), c("line"), c("column"), c("seq")), _line(_coloured(c("code"), colour)).alias("text"))
     counts = severity_counts(issues).select(*place(1, F.lit(""), severity_rank(c("severity")), at, at), F.format_string("  %d %s(s)", "n", "severity").alias("text"))
     title = issues.limit(1).select(*place(1, F.lit(""), at, at, at), F.lit("\nSummary:").alias("text"))
     return headline.unionByName(body).unionByName(title).unionByName(counts).orderBy("part", "file", "line", "column", "seq").select("text")
@@ -51,7 +61,7 @@ def in_order(issues: DataFrame) -> DataFrame:
 
 def parseable_report(issues: DataFrame) -> DataFrame:
     """(text) as issues were met: file:line:column: [code] message"""
-    return issues.orderBy("file", "seq").select(F.format_string("%s:%d:%d: [%s] %s", "file", "line", "column", "code", "message").alias("text"))
+    return issues.orderBy("file", "seq").select(_joined(F.col("file"), ":", F.col("line"), ":", F.col("column"), ": [", F.col("code"), "] ", F.col("message")).alias("text"))
 
 
 def _json_name(severity: Column) -> Column:
@@ -86,17 +96,17 @@ def _edge(rows: DataFrame, part: int, text: Column | str) -> DataFrame:
     return rows.select(F.lit(part).alias("part"), F.lit("").alias("file"), F.lit(0).cast("long").alias("seq"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
 
 
-def json_report(issues: DataFrame) -> DataFrame:
+def json_report(issues: DataFrame, stored: bool = False) -> DataFrame:
     """(text): the parts of one JSON array, an issue each. No issues: no line."""
-    issues = stash(issues, "issues")
+    issues = issues if stored else stash(issues, "issues")
     some = issues.limit(1)
     rows = _array(issues, 2, _json_name(F.col("severity"))).unionByName(_edge(some, 0, "[")).unionByName(_edge(some, 2, "]"))
     return rows.orderBy("part", "file", "seq").select("text")
 
 
-def json_summary_report(issues: DataFrame) -> DataFrame:
+def json_summary_report(issues: DataFrame, stored: bool = False) -> DataFrame:
     """(text): the parts of one JSON object with the issues and their summary."""
-    issues = stash(issues, "issues")
+    issues = issues if stored else stash(issues, "issues")
     counts = summary(issues)
     end = F.format_string('  ],\n  "summary": {\n    "total": %d,\n    "errors": %d,\n    "warnings": %d\n  }\n}', "total", "errors", "warnings")
     rows = _array(issues, 4, F.col("severity")).unionByName(_edge(counts, 0, '{\n  "issues": [')).unionByName(_edge(counts, 2, end))
@@ -113,10 +123,10 @@ def quiet_report(issues: DataFrame) -> DataFrame:
     return summary(issues).select(F.format_string("%d issue(s) found", "total").alias("text"))
 
 
-def standard_report(issues: DataFrame) -> DataFrame:
+def standard_report(issues: DataFrame, stored: bool = False) -> DataFrame:
     """(text): a line for each issue and their number, or 'No issues found!'."""
-    issues = stash(issues, "issues")
-    lines = issues.select(F.lit(0).alias("part"), "file", "seq", F.format_string(*_LINE, "code", "message", "symbol").alias("text"))
+    issues = issues if stored else stash(issues, "issues")
+    lines = issues.select(F.lit(0).alias("part"), "file", "seq", _line(F.col("code")).alias("text"))
     end = F.when(F.col("total") == 0, F.lit("No issues found!")).otherwise(F.format_string("\nSummary: %d issue(s) found", "total"))
     return lines.unionByName(_edge(summary(issues), 1, end)).orderBy("part", "file", "seq").select("text")
 

@@ -102,12 +102,12 @@ def report_parseable(spark: SparkSession, sf_dir: str) -> DataFrame:
     "UNION ALL SELECT chr(10) || 'Summary:' WHERE EXISTS (SELECT 1 FROM i) UNION ALL SELECT '  ' || CAST(count(*) AS VARCHAR) || ' ' || severity || '(s)' FROM i GROUP BY severity"
 )
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.text_report(_issues(spark, sf_dir))
+    return report.text_report(_issues(spark, sf_dir, stored=True), stored=True)
 
 
 @query(f"SELECT {_LINE} || code || ': ' || message || ' (' || symbol || ')' AS text FROM ({_ALL}) UNION ALL SELECT chr(10) || 'Summary: ' || CAST(count(*) AS VARCHAR) || ' issue(s) found' FROM ({_ALL})")
 def report_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.standard_report(_issues(spark, sf_dir))
+    return report.standard_report(_issues(spark, sf_dir, stored=True), stored=True)
 
 
 _JSON = (
@@ -126,7 +126,7 @@ def _json_sql(indent: int, severity_sql: str) -> str:
 
 @query(f"{_JSON} SELECT {_json_sql(2, repr('Error'))} AS text FROM o UNION ALL SELECT '[' UNION ALL SELECT ']'")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.json_report(_issues(spark, sf_dir))
+    return report.json_report(_issues(spark, sf_dir, stored=True), stored=True)
 
 
 @query(
@@ -134,7 +134,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     "|| ',' || chr(10) || '    \"errors\": ' || CAST(count(*) AS VARCHAR) || ',' || chr(10) || '    \"warnings\": 0' || chr(10) || '  }' || chr(10) || '}' FROM o"
 )
 def report_json_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.json_summary_report(_issues(spark, sf_dir))
+    return report.json_summary_report(_issues(spark, sf_dir, stored=True), stored=True)
 
 
 @query(f"SELECT CAST(count(*) AS VARCHAR) || ' issue(s) found' AS text FROM ({_ALL})")

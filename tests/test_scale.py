@@ -5,7 +5,7 @@ from test_rules import SNIPPETS, found
 
 from codesieve.corpus import CASES, modules
 from codesieve.functions.catalog import LIVE
-from codesieve.operators import rules
+from codesieve.operators import report, rules
 from codesieve.plans import walker
 from codesieve.plans.lint import lint
 from codesieve.plans.walker import Walker, quiet
@@ -75,3 +75,12 @@ def test_rules_are_decided_before_the_generator(spark):
     """The array of an event's issues is made by generated code, once."""
     text = plan(lint(spark.createDataFrame([("a.py", "x\n")], "file string, source string"), enable=["E0602"]))
     assert text.count("E0602") and text.index("Generate posexplode(found") < text.index("E0602,"), text
+
+
+def test_stored_issues_are_not_written_again(spark, monkeypatch):
+    """A report over issues that lie in the shared folder reads them there."""
+    table = spark.createDataFrame([("a.py", "x\n")], "file string, source string")
+    issues, written = lint(table, stored=True), []
+    monkeypatch.setattr(report, "stash", lambda df, name: written.append(name) or df)
+    for f in (report.text_report, report.standard_report, report.json_report, report.json_summary_report):
+        assert [r["text"] for r in f(issues, stored=True).collect()] and not written
