@@ -212,7 +212,7 @@ def diff_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT code, message, file, line, \"column\", severity, symbol FROM ({_ALL})")
 def parse_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.parse_text_report(report.text_report(_issues(spark, sf_dir)), "text")
+    return report.parse_text_report(report.text_report(_issues(spark, sf_dir, stored=True), stored=True), "text")
 
 
 @query(f"SELECT code, line, \"column\", message FROM ({_ALL})")
