@@ -228,7 +228,7 @@ _SIDES = f"WITH i AS ({_ALL}), f AS (SELECT code AS fixture, code, CASE WHEN cod
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Expected: all issues; found: without E0102, and E0104 a line too low."""
-    issues = stash(_issues(spark, sf_dir).select(F.col("code").alias("fixture"), "code", "line"), "sides")
+    issues = _issues(spark, sf_dir, stored=True).select(F.col("code").alias("fixture"), "code", "line")
     return issues, issues.where("code <> 'E0102'").withColumn("line", F.when(F.col("code") == "E0104", F.col("line") + 1).otherwise(F.col("line")))
 
 

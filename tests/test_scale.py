@@ -5,7 +5,7 @@ from test_rules import SNIPPETS, found
 
 from codesieve.corpus import CASES, modules
 from codesieve.functions.catalog import LIVE
-from codesieve.operators import report, rules
+from codesieve.operators import diff, report, rules
 from codesieve.plans import walker
 from codesieve.plans.lint import lint
 from codesieve.plans.walker import Walker, quiet
@@ -84,3 +84,11 @@ def test_stored_issues_are_not_written_again(spark, monkeypatch):
     monkeypatch.setattr(report, "stash", lambda df, name: written.append(name) or df)
     for f in (report.text_report, report.standard_report, report.json_report, report.json_summary_report):
         assert [r["text"] for r in f(issues, stored=True).collect()] and not written
+
+
+def test_a_side_with_few_keys_is_made_distinct_before_the_sides_meet(spark):
+    """Else all rows of a key, which are as many as the modules, go through one task."""
+    rows = spark.range(4000).selectExpr("concat('E010', id % 3) AS code", "cast(id % 2 AS int) AS line")
+    for f in (diff.matched, diff.missed, diff.extra):
+        text = plan(f(rows, rows.where("code <> 'E0102'")))
+        assert text.index("Join") < text.index("HashAggregate", text.index("Join")) and "Join" not in text[text.rindex("HashAggregate") :], text
