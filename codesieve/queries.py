@@ -13,7 +13,6 @@ from .functions.text import column_of, count_placeholders, line_of, module_path
 from .operators import diff, report
 from .plans.lint import COLUMNS, keep, lint
 from .plans.parse import register
-from .session import stash
 from .sources.scan import SKIPPED, is_ignored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,7 +204,7 @@ _NOT_IN = "WHERE NOT EXISTS (SELECT 1 FROM {} b WHERE b.fixture = a.fixture AND
 )
 def diff_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What only one side has, by file, in the order of lines and columns."""
-    issues = stash(_issues(spark, sf_dir).select(F.col("file").alias("fixture"), "code", "line", "column", "message"), "sides")
+    issues = _issues(spark, sf_dir, stored=True).select(F.col("file").alias("fixture"), "code", "line", "column", "message")
     found = issues.where("code <> 'E0102'").withColumn("line", F.when(F.col("code") == "E0104", F.col("line") + 1).otherwise(F.col("line")))
     return diff.unmatched(issues, found, ("fixture",))
 
