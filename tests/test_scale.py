@@ -92,3 +92,9 @@ def test_a_side_with_few_keys_is_made_distinct_before_the_sides_meet(spark):
     for f in (diff.matched, diff.missed, diff.extra):
         text = plan(f(rows, rows.where("code <> 'E0102'")))
         assert text.index("Join") < text.index("HashAggregate", text.index("Join")) and "Join" not in text[text.rindex("HashAggregate") :], text
+
+
+def test_findings_with_line_ends_and_marks(spark):
+    lines = ["a.py:1:2: E0102: one \x01 two (sym)", "a.py:3:4: E: said (E0103:sym) more\nand more", "a.py:1: E0102: no (x)", "a.py:5:6: E0104:  (s)"]
+    got = diff.parse_findings(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [tuple(r) for r in got] == [("E0102", 1, 2, "one \x01 two"), ("E0103", 3, 4, "said"), ("E0104", 5, 6, "")]
