@@ -189,9 +189,11 @@ def implemented_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jumps_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parser as a table function of SQL."""
-    register(spark)
+    register(spark, kinds=["jump"])  # no others are asked for
     _corpus(spark, sf_dir).createOrReplaceTempView("codesieve_modules")
-    return spark.sql("SELECT m.file, e.name FROM codesieve_modules m, LATERAL parse_events(m.source) e WHERE e.kind = 'jump'")
+    found = spark.sql("SELECT m.file, e.name FROM codesieve_modules m, LATERAL parse_events(m.source) e WHERE e.kind = 'jump'")
+    register(spark)
+    return found
 
 
 _BY_FILE = f'WITH i AS ({_ALL}), e AS (SELECT file AS fixture, * FROM i), f AS (SELECT file AS fixture, code, message, CASE WHEN code = \'E0104\' THEN line + 1 ELSE line END AS line, "column" FROM i WHERE code <> \'E0102\') '

@@ -8,6 +8,7 @@ from codesieve.functions.catalog import LIVE
 from codesieve.operators import diff, report, rules
 from codesieve.plans import walker
 from codesieve.plans.lint import lint
+from codesieve.plans.parse import register
 from codesieve.plans.walker import Walker, quiet
 
 ALL = [*SNIPPETS, *(m.replace("{k}", "7").replace("{j}", "4") for m, _ in CASES)]
@@ -98,3 +99,12 @@ def test_findings_with_line_ends_and_marks(spark):
     lines = ["a.py:1:2: E0102: one \x01 two (sym)", "a.py:3:4: E: said (E0103:sym) more\nand more", "a.py:1: E0102: no (x)", "a.py:5:6: E0104:  (s)"]
     got = diff.parse_findings(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [tuple(r) for r in got] == [("E0102", 1, 2, "one \x01 two"), ("E0103", 3, 4, "said"), ("E0104", 5, 6, "")]
+
+
+def test_the_table_function_of_a_query_gives_the_kinds_that_it_keeps(spark):
+    spark.createDataFrame([("a.py", "break\nx\n")], "file string, source string").createOrReplaceTempView("kept")
+    kinds = lambda: [r["kind"] for r in spark.sql("SELECT e.kind FROM kept k, LATERAL parse_events(k.source) e").collect()]
+    register(spark, kinds=["jump"])
+    before = spark.sql("SELECT e.kind FROM kept k, LATERAL parse_events(k.source) e")
+    register(spark)
+    assert [r["kind"] for r in before.collect()] == ["jump"] and kinds() == ["module", "jump", "unresolved"]
